@@ -6,7 +6,7 @@ from evolens.catalog import registry
 
 
 def _load() -> None:
-    from evolens.catalog import history_queries, source_queries  # noqa: F401
+    from evolens.catalog import history_queries, selection_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
