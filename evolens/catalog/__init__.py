@@ -6,7 +6,13 @@ from evolens.catalog import registry
 
 
 def _load() -> None:
-    from evolens.catalog import history_queries, selection_queries, source_queries  # noqa: F401
+    from evolens.catalog import (  # noqa: F401
+        history_queries,
+        model_queries,
+        selection_queries,
+        source_queries,
+        text_queries,
+    )
 
 
 def queries() -> dict[str, registry.Query]:
