@@ -126,7 +126,7 @@ def section(text: Column, heading: str) -> Column:
     ).cast("int")
     body = F.when(end > 0, F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(rest)
     kept = F.filter(
-        F.transform(F.filter(body, lambda line: ~is_heading(line)), strip),
+        F.transform(F.filter(body, lambda line: ~is_heading(line)), lambda line: strip(line)),
         lambda line: F.length(line) > 0,
     )
     return F.when((begin > 0) & (F.size(kept) > 0), F.array_join(kept, " "))
