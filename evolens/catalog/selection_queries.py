@@ -11,7 +11,7 @@ from evolens.catalog import adapters as a
 from evolens.catalog.registry import query
 from evolens.catalog.source_queries import DATED, dated_text
 from evolens.functions import fixed_values as fv
-from evolens.functions import paths
+from evolens.functions import paths, times
 from evolens.functions.labels import add_rule_labels
 from evolens.operators import context, quantiles, selection, summary
 from evolens.plans import study
@@ -233,8 +233,7 @@ def _series(spark, folder):
 )
 def longest_series(spark, folder):
     rows = _series(spark, folder)
-    shown = F.date_format("commit_date", "yyyy-MM-dd'T'HH:mm:ss")
-    return rows.withColumn("commit_date", shown)
+    return rows.withColumn("commit_date", times.iso_utc(F.col("commit_date")))
 
 
 @query(
@@ -250,7 +249,7 @@ def series_clean(spark, folder):
         "repo_name",
         "file_path",
         "commit_hash",
-        F.date_format("commit_date", "yyyy-MM-dd'T'HH:mm:ss").alias("commit_date"),
+        times.iso_utc(F.col("commit_date")).alias("commit_date"),
         "metric_value",
     )
 

@@ -416,7 +416,7 @@ def repo_filter(spark, folder):
 @query(
     a.with_sql(a.CHANGES, a.COMMIT_LOG, _COMMITS)
     + """SELECT h.repo_name, h.file_path, h.commit_hash, h.change_type,
-      coalesce(strftime(c."timestamp", '%Y-%m-%d'), '0001-01-01') AS day, c."timestamp" IS NULL AS time_missing
+      coalesce(strftime(c."timestamp", '%Y-%m-%d'), '0001-01-02') AS day, c."timestamp" IS NULL AS time_missing
     FROM changes h LEFT JOIN commits c ON c.repo_name = h.repo_name AND c.commit_hash = h.commit_hash"""
 )
 def metrics_with_time(spark, folder):

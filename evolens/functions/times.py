@@ -16,5 +16,6 @@ def parse_number(text: Column) -> Column:
 
 
 def iso_utc(instant: Column) -> Column:
-    """An instant as text in the session time zone, for display only."""
-    return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss")
+    """An instant as text in UTC, whatever the session time zone; for display only."""
+    utc = F.to_utc_timestamp(instant, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")

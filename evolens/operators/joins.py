@@ -50,7 +50,8 @@ def with_commit_time(
     """
     times = commits.select("repo_name", "commit_hash", time)
     joined = metrics.join(times, ["repo_name", "commit_hash"], "left")
-    earliest = F.lit("0001-01-01 00:00:00").cast("timestamp")
+    # One day late, so that every client zone can show it.
+    earliest = F.lit("0001-01-02 00:00:00").cast("timestamp")
     return joined.withColumns(
         {
             "time_missing": F.col(time).isNull(),
