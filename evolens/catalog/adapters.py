@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evolens.functions import fixed_values as fv
+from evolens.session import spread
 
 DIRS = (
     "src/core",
@@ -360,7 +361,7 @@ def explanations(spark: SparkSession, folder: str) -> DataFrame:
             doc % 3 == 0, F.lit("## What Makes This Unusual\nThis SUGGESTS THAT it has undergone change.")
         ).otherwise(F.lit("## Change Summary\n moved  \n\n and renamed \n## End")),
     )
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         doc,
         F.col("source").alias("repo"),
         path_of(doc).alias("file"),
@@ -419,9 +420,10 @@ SCRIPT_WORDS = (
 
 def scripts(spark: SparkSession, folder: str) -> DataFrame:
     source = F.col("text")
+    documents = spread(table(spark, folder, "documents"))
     for word, token in SCRIPT_WORDS:
         source = F.replace(source, F.lit(word), F.lit(token))
-    return table(spark, folder, "documents").select("doc_id", "source", "lang", source.alias("script"))
+    return documents.select("doc_id", "source", "lang", source.alias("script"))
 
 
 def _quoted(s: str) -> str:

@@ -14,6 +14,7 @@ from evolens.functions import text
 from evolens.functions.labels import add_rule_labels
 from evolens.operators import retrieval, summary
 from evolens.plans import explain
+from evolens.session import spread
 
 _TOKENS = [a.EXPLANATIONS, a.WORDS]
 
@@ -104,8 +105,9 @@ _CHECKED = [*_TOKENS, _violations_sql()]
       words AS word_count FROM checked"""
 )
 def validate_text(spark, folder):
-    validation = text.validate(F.col("explanation"), F.col("provided"))
-    rows = a.explanations(spark, folder).withColumn("v", validation)
+    rows = text.with_validation(
+        a.explanations(spark, folder), F.col("explanation"), F.col("provided"), "v"
+    )
     return rows.select(
         "doc_id",
         "v.valid",
@@ -184,8 +186,8 @@ _RATE_NAMES = (
 
 
 def _validated(spark, folder):
-    validation = text.validate(F.col("explanation"), F.col("provided"))
-    return a.explanations(spark, folder).withColumn("validation", validation)
+    rows = a.explanations(spark, folder)
+    return text.with_validation(rows, F.col("explanation"), F.col("provided"))
 
 
 @query(
@@ -394,7 +396,7 @@ def parrot(prompts: list[str]) -> list[str]:
       answer IS NULL AS failed FROM answers"""
 )
 def batch_infer_retry(spark, folder):
-    prompts = a.table(spark, folder, "documents").select(
+    prompts = spread(a.table(spark, folder, "documents")).select(
         F.col("source").alias("repo"),
         F.col("doc_id").cast("string").alias("file"),
         F.lit("0").alias("cluster"),

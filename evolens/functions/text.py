@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evolens.functions import fixed_values as fv
@@ -17,7 +17,7 @@ from evolens.functions import fixed_values as fv
 # A token stands alone: no letter, digit or underscore on either side. Spelled out
 # because the meaning of a word boundary differs between Java versions.
 HASH_TOKEN = rf"(?<![\p{{L}}\p{{N}}_])({fv.HASH_BODY})(?![\p{{L}}\p{{N}}_])"
-SPACE_RUN = r"[\s\x1c-\x1f\x85\p{Z}]+"
+WORD_RUN = r"[^\s\x1c-\x1f\x85\p{Z}]+"
 
 
 def strip(text: Column, chars: str = fv.WHITESPACE) -> Column:
@@ -59,8 +59,7 @@ def short_hash(commit: Column, size: int = 8) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    words = F.split(strip(text), SPACE_RUN)
-    return F.when(F.length(strip(text)) == 0, F.lit(0)).otherwise(F.size(words))
+    return F.regexp_count(text, F.lit(WORD_RUN))
 
 
 def replace_phrases(
@@ -140,30 +139,40 @@ def change_summary(text: Column) -> Column:
     return F.coalesce(section(text, fv.SUMMARY_HEADING), cap(text, fv.FALLBACK_CHARS))
 
 
-def validate(text: Column, provided: Column) -> Column:
-    """Check one explanation: struct of valid flag, violations and word count."""
-    words = word_count(text)
-    lowered = F.lower(text)
+def with_validation(
+    df: DataFrame, explanation: Column, provided: Column, output: str = "validation"
+) -> DataFrame:
+    """Check explanations: add a struct of valid flag, violations and word count.
+
+    Null explanations get null. Words and violations are columns of their own on
+    the way, so that each is worked out once per row.
+    """
+    provided = F.coalesce(provided, F.array().cast("array<string>"))
+    lowered, words = F.lower(explanation), F.col("_words")
     rules = [F.when(words > fv.MAX_WORDS, F.format_string(fv.WORD_LIMIT_VIOLATION, words))]
     rules += [
-        F.when(~text.contains(s), F.lit(fv.SECTION_VIOLATION % s)) for s in fv.REQUIRED_SECTIONS
+        F.when(~explanation.contains(s), F.lit(fv.SECTION_VIOLATION % s))
+        for s in fv.REQUIRED_SECTIONS
     ]
     rules += [
         F.when(lowered.contains(p), F.lit(fv.PHRASE_VIOLATION % p)) for p in fv.BANNED_PHRASES
     ]
     unknown = F.transform(
         F.filter(
-            hash_tokens(text),
-            lambda token: ~F.exists(
-                F.coalesce(provided, F.array().cast("array<string>")),
-                lambda commit: commit.contains(token),
-            ),
+            hash_tokens(explanation),
+            lambda token: ~F.exists(provided, lambda commit: commit.contains(token)),
         ),
         lambda token: F.format_string(fv.COMMIT_VIOLATION, short_hash(token)),
     )
-    violations = F.concat(F.filter(F.array(*rules), lambda v: v.isNotNull()), unknown)
-    return F.struct(
-        (F.size(violations) == 0).alias("valid"),
-        violations.alias("violations"),
+    violations = F.concat(F.array_compact(F.array(*rules)), unknown)
+    checked = F.struct(
+        (F.size("_violations") == 0).alias("valid"),
+        F.col("_violations").alias("violations"),
         words.alias("word_count"),
     )
+    return (
+        df.withColumn("_words", word_count(explanation))
+        .withColumn("_violations", violations)
+        .withColumn(output, F.when(explanation.isNotNull(), checked))
+        .drop("_words", "_violations")
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evolens.operators.joins import lookup_join
 from evolens.operators.quantiles import exact_medians, with_percentile_rank
+from evolens.session import materialise
 
 TIMES = "×"
 
@@ -62,7 +63,7 @@ def with_context(analysis: DataFrame, everyone: DataFrame | None = None) -> Data
     cluster without medians compares with 0.
     """
     everyone = analysis if everyone is None else everyone
-    medians = cluster_medians(everyone).withColumnRenamed("cluster_id", "_cluster")
+    medians = materialise(cluster_medians(everyone)).withColumnRenamed("cluster_id", "_cluster")
     ranked = with_percentile_rank(analysis, "anomaly_score", everyone=everyone)
     keyed = ranked.withColumn("_cluster", F.col("cluster_id").cast("string"))
     joined = lookup_join(keyed, medians, ["_cluster"], "left")

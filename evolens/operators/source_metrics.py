@@ -16,9 +16,10 @@ from evolens.functions.text import strip
 def code_line_count(source: Column) -> Column:
     """Lines that hold code: not blank, not comment.
 
-    A fold over the lines carries whether a block comment is open. A line with an
-    opening and a closing mark never changes that; then the opening mark counts,
-    then the closing mark, and only then is the state looked at.
+    A line with an opening and a closing comment mark never changes whether a
+    comment is open; then the opening mark counts, then the closing mark, and only
+    then is the state looked at. Each line is sorted into one of these kinds on its
+    own; a fold over the kinds carries the state.
     """
     def trimmed(c: Column) -> Column:
         return strip(c, fv.SCRIPT_WHITESPACE)
@@ -26,26 +27,37 @@ def code_line_count(source: Column) -> Column:
     def is_code(c: Column) -> Column:
         return ((F.length(c) > 0) & ~c.startswith("//")).cast("long")
 
-    def step(state: Column, raw: Column) -> Column:
-        line = trimmed(raw)
+    def sorted_line(line: Column) -> Column:
         opens, closes = line.contains("/*"), line.contains("*/")
         around = trimmed(F.regexp_replace(line, r"/\*.*?\*/", ""))
         before = trimmed(F.substring_index(line, "/*", 1))
         after = trimmed(F.get(F.split(line, r"\*/"), F.lit(1)))
-        added = (
+        kind = (
+            F.when(opens & closes, "both").when(opens, "open").when(closes, "close").otherwise("text")
+        )
+        code = (
             F.when(opens & closes, is_code(around))
             .when(opens, (F.length(before) > 0).cast("long"))
             .when(closes, is_code(after))
-            .when(state["open"], F.lit(0).cast("long"))
             .otherwise(is_code(line))
         )
-        is_open = F.when(opens & closes, state["open"]).when(opens, True).when(closes, False)
+        return F.struct(kind.alias("kind"), code.alias("code"))
+
+    def step(state: Column, line: Column) -> Column:
+        hidden = state["open"] & (line["kind"] == "text")
+        is_open = F.when(line["kind"] == "open", True).when(line["kind"] == "close", False)
         return F.struct(
-            (state["lines"] + added).alias("lines"), is_open.otherwise(state["open"]).alias("open")
+            (state["lines"] + F.when(hidden, 0).otherwise(line["code"])).alias("lines"),
+            is_open.otherwise(state["open"]).alias("open"),
         )
 
+    lines = F.transform(F.split(source, "\n"), lambda raw: trimmed(raw))
     start = F.struct(F.lit(0).cast("long").alias("lines"), F.lit(False).alias("open"))
-    return F.aggregate(F.split(source, "\n"), start, step, lambda state: state["lines"])
+    folded = F.aggregate(
+        F.transform(lines, lambda line: sorted_line(line)), start, step, lambda state: state["lines"]
+    )
+    plain = F.size(F.filter(lines, lambda line: is_code(line) == 1)).cast("long")
+    return F.when(source.contains("/*") | source.contains("*/"), folded).otherwise(plain)
 
 
 # A word that is not part of a longer name; the name characters are spelled out

@@ -125,6 +125,7 @@ def prompt_table(
     documents = documents.withColumnsRenamed({"repo": "repo_name", "file": "file_path"})
     contextual = with_context(flat, everyone).join(documents, ["repo_name", "file_path"], "left")
     labels = cluster_labels.select("cluster_id", F.col("derived_cluster_label").alias("_label"))
+    labels = materialise(labels)
     joined = lookup_join(contextual, labels, ["cluster_id"], "left")
     label = F.coalesce(
         "_label", F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string"))
@@ -181,12 +182,8 @@ def explain(prompts: DataFrame, generator: Generator) -> DataFrame:
     First answers are stored, so no row is generated twice.
     """
     def checked(df: DataFrame, explanation: Column) -> DataFrame:
-        return df.withColumn("explanation", explanation).withColumn(
-            "validation",
-            F.when(
-                F.col("error").isNull(), text.validate(F.col("explanation"), F.col("provided_commits"))
-            ),
-        )
+        answered = df.withColumn("explanation", explanation)
+        return text.with_validation(answered, F.col("explanation"), F.col("provided_commits"))
 
     answer = text.strip(F.col("response"))
     first = materialise(checked(generate(prompts, generator), text.replace_phrases(answer)))

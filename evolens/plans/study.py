@@ -11,6 +11,8 @@ from evolens.functions import fixed_values as fv
 from evolens.functions import times
 from evolens.operators import selection as sel
 from evolens.operators.history import earliest_per_key
+from evolens.operators.joins import lookup_join
+from evolens.session import materialise
 
 
 def commit_dates(snapshots: DataFrame, ingest_order: str) -> DataFrame:
@@ -37,7 +39,9 @@ def longest_series(
     longest = sizes.groupBy("repo_name").agg(
         F.max_by("file_path", F.struct("n", "file_path")).alias("file_path")
     )
-    points = rows.join(longest, ["repo_name", "file_path"], "left_semi")
+    points = lookup_join(
+        rows, materialise(longest), ["repo_name", "file_path"], "left_semi", salt_on=["commit_hash"]
+    )
     dated = points.join(dates, ["repo_name", "commit_hash"], "left")
     return dated.select(
         "repo_name",

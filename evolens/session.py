@@ -57,3 +57,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy row-by-row work on a table just read at least one task per core.
+
+    Only a table with fewer partitions than cores moves, which is a small one;
+    large tables stay as they are read. Not for tables behind a shuffle, which
+    would have to run to be counted.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

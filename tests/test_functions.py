@@ -138,7 +138,9 @@ def test_validation(spark):
     bad = "This HAS UNDERGONE change 9999999"
     rows = [(good, ["abcdef0123"]), (long, ["xabcdef0"]), (bad, ["abcdef0"])]
     schema = "t string, v array<string>"
-    got = values(spark, rows, schema, text.validate(F.col("t"), F.col("v")))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + schema)
+    checked = text.with_validation(df, F.col("t"), F.col("v")).orderBy("i").collect()
+    got = [r.validation for r in checked]
     assert got[0].valid and got[0].violations == []
     assert got[1].violations == [f"Exceeded word limit: {got[1].word_count} words (max 250)"]
     assert got[1].word_count == len(long.split())
