@@ -404,6 +404,15 @@ def diff_documents(spark, folder):
     return documents.select("repo", "file", "commit", "type", F.md5("document").alias("document_md5"))
 
 
+@query(
+    a.with_sql(a.TEXT_CHANGES, _DIFFS)
+    + f"""SELECT count(*) FILTER (length(diff_text) >= {fv.MIN_DIFF_CHARS}) AS documents,
+      count(*) FILTER (length(diff_text) < {fv.MIN_DIFF_CHARS}) AS skipped_trivial FROM diffs"""
+)
+def trivial_documents(spark, folder):
+    return retrieval.trivial_counts(change_log.diffs(a.text_changes(spark, folder)))
+
+
 @query(
     a.with_sql(a.HISTORY)
     + "SELECT repo_name, file_path, commit_hash FROM history WHERE repo_name = 'click'"

@@ -349,9 +349,7 @@ def _capped_sql(column: str, limit: int, marker: str, placeholder: str) -> str:
     )
 
 
-@query(
-    a.with_sql(*_SNAPSHOT_CTES)
-    + f"""SELECT repo_name, file_path, md5(concat_ws(chr(10), {_quote(explain.SNAPSHOT_TASK)},
+_SNAPSHOT_PROMPT = f"""concat_ws(chr(10), {_quote(explain.SNAPSHOT_TASK)},
       'File: ' || file_path, 'Date: ' || CAST(commit_date AS VARCHAR), 'Author: ' || author,
       'Message: ' || commit_message,
       'Diff:' || chr(10) || '```' || chr(10)
@@ -359,7 +357,12 @@ def _capped_sql(column: str, limit: int, marker: str, placeholder: str) -> str:
       'Content:' || chr(10) || '```' || chr(10)
         || {_capped_sql("current_content", fv.PROMPT_CONTENT_CHARS, fv.CONTENT_MARKER, fv.NO_CONTENT)}
         || chr(10) || '```',
-      {_quote(explain.SNAPSHOT_RULES)})) AS prompt_md5 FROM snapshots"""
+      {_quote(explain.SNAPSHOT_RULES)})"""
+
+
+@query(
+    a.with_sql(*_SNAPSHOT_CTES)
+    + f"SELECT repo_name, file_path, md5({_SNAPSHOT_PROMPT}) AS prompt_md5 FROM snapshots"
 )
 def snapshot_prompt(spark, folder):
     rows = _snapshots(spark, folder)
@@ -413,6 +416,27 @@ def batch_infer_retry(spark, folder):
     )
 
 
+_SNAPSHOT_PROMPTS = f"""prompts AS (SELECT *, {_SNAPSHOT_PROMPT} AS prompt FROM snapshots)"""
+
+
+@query(
+    a.with_sql(*_SNAPSHOT_CTES, a.CHANGES, _SNAPSHOT_PROMPTS)
+    + f"""SELECT p.repo_name AS repo, p.file_path AS file, p.commit_hash,
+      md5(CASE WHEN length(prompt) % 7 = 0 THEN 'Error generating explanation: refused' ELSE prompt END)
+        AS explanation_md5
+    FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY commit_date DESC, commit_hash DESC) AS rn
+        FROM prompts) p
+      JOIN (SELECT file_path FROM text_changes GROUP BY file_path ORDER BY count(*) DESC, file_path
+        LIMIT {fv.TOP_K}) f ON f.file_path = p.file_path WHERE rn = 1"""
+)
+def describe_run(spark, folder):
+    changes = a.text_changes(spark, folder).select("repo_name", "file_path", "commit_hash")
+    descriptions, _ = explain.describe_run(changes, _snapshots(spark, folder), parrot)
+    return descriptions.select(
+        "repo", "file", "commit_hash", F.md5("explanation").alias("explanation_md5")
+    )
+
+
 @query()
 def explain_run(spark, folder):
     """Select, explain, measure, synthesise and report, with the stand-in generator."""

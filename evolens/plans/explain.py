@@ -18,7 +18,7 @@ from evolens.operators import summary
 from evolens.operators.context import with_context
 from evolens.operators.joins import lookup_join
 from evolens.operators.retrieval import SCOPE
-from evolens.operators.selection import top_k, top_k_per_group
+from evolens.operators.selection import latest_by_frequency, top_k, top_k_per_group
 from evolens.session import materialise
 from evolens.sources.writers import append_batch, pending, report_json, report_markdown
 
@@ -42,6 +42,7 @@ SNAPSHOT_RULES = (
     "Use these headings: ### Change Summary, ### Specific Modifications, ### Apparent Intent, "
     "### Code Implications. At most 200 words. Describe only what is shown."
 )
+CHANGES_TASK = "Summarise the kinds of change these descriptions have in common."
 SYNTHESIS_TASK = "Describe patterns that show only when these files are compared with each other."
 
 MAX_SHOWN = 2
@@ -328,6 +329,21 @@ def report(
     )
 
 
+def describe_run(
+    changes: DataFrame, snapshots: DataFrame, generator: Generator, k: int = fv.TOP_K
+) -> tuple[DataFrame, DataFrame]:
+    """The baseline run: describe the latest snapshot of the k most changed files, then synthesise.
+
+    Returns the descriptions and one row with the synthesis prompt and its answer.
+    """
+    chosen = latest_by_frequency(changes, snapshots, "commit_date", k)
+    descriptions = materialise(explain_snapshots(chosen, generator))
+    lines = joined_lines(summary_lines(descriptions), [F.col("file")])
+    prompt = F.concat(F.lit(f"{CHANGES_TASK}\n"), F.col("lines"))
+    synthesis = generate(lines.withColumn("prompt", prompt), generator)
+    return descriptions, synthesis.select("prompt", "response", "error")
+
+
 def explain_run(
     flat: DataFrame,
     retrieved: DataFrame,
