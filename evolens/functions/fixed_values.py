@@ -18,6 +18,40 @@ IMPORTS_TREND_THRESHOLD = 0.05
 VOLATILITY_THRESHOLD = 1.0
 RECENT_COMPARISON_THRESHOLD = 0.2
 
+# Label words, from low to high.
+CHURN_LABELS = ("low", "moderate", "high")
+TREND_LABELS = ("decreasing", "stable", "increasing")
+VOLATILITY_LABELS = ("stable", "oscillating")
+COMPARISON_LABELS = ("improving", "unchanged", "regressing")
+
+# The parts of a cluster's name, from low to high.
+CLUSTER_CHURN = ("low churn", "moderate churn", "high churn")
+CLUSTER_COMPLEXITY = ("declining complexity", "stable complexity", "growing complexity")
+CLUSTER_VOLATILITY = "high volatility"
+
+# Wording of the anomaly, churn and complexity context.
+EXTREME_PERCENT = 5
+ATYPICAL_PERCENT = 20
+EXTREME_CONTEXT = "Top %d%% most atypical (extreme outlier)"
+ATYPICAL_CONTEXT = "Top %d%% most atypical"
+PERCENTILE_CONTEXT = "%dth percentile"
+CHURN_BANDS = (
+    (0.8, "lower than cluster median (more stable)"),
+    (1.2, "similar to cluster median"),
+    (2.0, "moderately higher than cluster median"),
+)
+CHURN_ABOVE = "significantly higher than cluster median"
+CHURN_CONTEXT = "%s× cluster median (%s)"
+MEDIAN_SLOPE_FLOOR = 1e-3
+COMPLEXITY_CONTEXT = "%sx %s than cluster median"
+COMPLEXITY_PACE = ("slower", "faster")
+SLOPE_CONTEXT = "slope %s"
+CHURN_SIGNAL = "%sx cluster median"
+TREND_SIGNAL = "%s (slope: %s)"
+COMPONENT_LINE = "%s/: %d files, avg anomaly %.2f, clusters [%s]"
+SIGNAL_LINE = "- **%s**: %s"
+SUMMARY_LINE = "**%s**: %s"
+
 # Clustering and anomaly scoring.
 K_MIN = 3
 K_MAX = 10

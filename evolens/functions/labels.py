@@ -9,20 +9,18 @@ from evolens.functions import fixed_values as fv
 
 
 def churn_label(rate: Column) -> Column:
-    low, high = fv.CHURN_THRESHOLDS
-    return F.when(rate <= low, "low").when(rate <= high, "moderate").otherwise("high")
+    (few, some), (low, moderate, high) = fv.CHURN_THRESHOLDS, fv.CHURN_LABELS
+    return F.when(rate <= few, low).when(rate <= some, moderate).otherwise(high)
 
 
 def trend_label(slope: Column, threshold: float) -> Column:
-    return (
-        F.when(slope < -threshold, "decreasing")
-        .when(slope > threshold, "increasing")
-        .otherwise("stable")
-    )
+    down, level, up = fv.TREND_LABELS
+    return F.when(slope < -threshold, down).when(slope > threshold, up).otherwise(level)
 
 
 def volatility_label(std: Column) -> Column:
-    return F.when(std <= fv.VOLATILITY_THRESHOLD, "stable").otherwise("oscillating")
+    calm, moving = fv.VOLATILITY_LABELS
+    return F.when(std <= fv.VOLATILITY_THRESHOLD, calm).otherwise(moving)
 
 
 def recent_versus_history(recent: Column, historical: Column) -> Column:
@@ -30,11 +28,8 @@ def recent_versus_history(recent: Column, historical: Column) -> Column:
     change = F.try_divide(recent - historical, F.abs(historical))
     direction = F.when(historical == 0, recent).otherwise(change)
     band = F.when(historical == 0, F.lit(0.0)).otherwise(F.lit(fv.RECENT_COMPARISON_THRESHOLD))
-    return (
-        F.when(F.abs(direction) <= band, "unchanged")
-        .when(direction > 0, "regressing")
-        .otherwise("improving")
-    )
+    better, same, worse = fv.COMPARISON_LABELS
+    return F.when(F.abs(direction) <= band, same).when(direction > 0, worse).otherwise(better)
 
 
 def add_rule_labels(features: DataFrame) -> DataFrame:
@@ -63,14 +58,10 @@ def add_rule_labels(features: DataFrame) -> DataFrame:
 
 def cluster_label(churn: Column, cc_trend: Column, cc_volatility: Column) -> Column:
     """A readable name for a cluster from three of its averages."""
-    low, high = fv.CHURN_THRESHOLDS
-    activity = (
-        F.when(churn > high, "high churn").when(churn > low, "moderate churn").otherwise("low churn")
-    )
-    complexity = (
-        F.when(cc_trend > fv.CC_TREND_THRESHOLD, "growing complexity")
-        .when(cc_trend < -fv.CC_TREND_THRESHOLD, "declining complexity")
-        .otherwise("stable complexity")
-    )
-    volatility = F.when(cc_volatility > fv.VOLATILITY_THRESHOLD, "high volatility")
+    (few, some), (low, moderate, high) = fv.CHURN_THRESHOLDS, fv.CLUSTER_CHURN
+    activity = F.when(churn > some, high).when(churn > few, moderate).otherwise(low)
+    down, level, up = fv.CLUSTER_COMPLEXITY
+    limit = fv.CC_TREND_THRESHOLD
+    complexity = F.when(cc_trend > limit, up).when(cc_trend < -limit, down).otherwise(level)
+    volatility = F.when(cc_volatility > fv.VOLATILITY_THRESHOLD, fv.CLUSTER_VOLATILITY)
     return F.concat_ws(", ", activity, complexity, volatility)

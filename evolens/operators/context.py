@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evolens.functions import fixed_values as fv
 from evolens.operators.joins import lookup_join
 from evolens.operators.quantiles import exact_medians, with_percentile_rank
 from evolens.session import materialise
 
-TIMES = "×"
-
-
 def cluster_medians(analysis: DataFrame) -> DataFrame:
     """Median churn and complexity slope per cluster; a missing value counts as 0."""
     flat = analysis.select(
@@ -33,27 +31,25 @@ def churn_ratio(churn: Column, median: Column) -> Column:
 
 def anomaly_context(percentile: Column, top: Column) -> Column:
     return (
-        F.when(top <= 5, F.format_string("Top %d%% most atypical (extreme outlier)", top))
-        .when(top <= 20, F.format_string("Top %d%% most atypical", top))
-        .otherwise(F.format_string("%dth percentile", percentile))
+        F.when(top <= fv.EXTREME_PERCENT, F.format_string(fv.EXTREME_CONTEXT, top))
+        .when(top <= fv.ATYPICAL_PERCENT, F.format_string(fv.ATYPICAL_CONTEXT, top))
+        .otherwise(F.format_string(fv.PERCENTILE_CONTEXT, percentile))
     )
 
 
 def churn_comparison(ratio: Column) -> Column:
-    band = (
-        F.when(ratio < 0.8, "lower than cluster median (more stable)")
-        .when(ratio < 1.2, "similar to cluster median")
-        .when(ratio < 2.0, "moderately higher than cluster median")
-        .otherwise("significantly higher than cluster median")
-    )
-    return F.concat(_fixed(ratio, 2), F.lit(f"{TIMES} cluster median ("), band, F.lit(")"))
+    bands = [F.when(ratio < limit, F.lit(words)) for limit, words in fv.CHURN_BANDS]
+    band = F.coalesce(*bands, F.lit(fv.CHURN_ABOVE))
+    return F.format_string(fv.CHURN_CONTEXT, _fixed(ratio, 2), band)
 
 
 def complexity_comparison(slope: Column, median: Column) -> Column:
     ratio = F.bround(F.abs(F.try_divide(slope, median)), 2)
-    pace = F.when(F.abs(slope) > F.abs(median), "faster").otherwise("slower")
-    versus = F.concat(ratio.cast("string"), F.lit("x "), pace, F.lit(" than cluster median"))
-    return F.when(F.abs(median) > 1e-3, versus).otherwise(F.concat(F.lit("slope "), _fixed(slope, 4)))
+    slower, faster = fv.COMPLEXITY_PACE
+    pace = F.when(F.abs(slope) > F.abs(median), faster).otherwise(slower)
+    versus = F.format_string(fv.COMPLEXITY_CONTEXT, ratio.cast("string"), pace)
+    alone = F.format_string(fv.SLOPE_CONTEXT, _fixed(slope, 4))
+    return F.when(F.abs(median) > fv.MEDIAN_SLOPE_FLOOR, versus).otherwise(alone)
 
 
 def with_context(analysis: DataFrame, everyone: DataFrame | None = None) -> DataFrame:
@@ -76,9 +72,9 @@ def with_context(analysis: DataFrame, everyone: DataFrame | None = None) -> Data
             "anomaly_context": anomaly_context(F.col("percentile"), F.col("top_percent")),
             "churn_comparison": churn_comparison(ratio),
             "complexity_comparison": complexity_comparison(slope, median_slope),
-            "churn_vs_cluster": F.concat(_fixed(ratio, 1), F.lit("x cluster median")),
-            "complexity_trend": F.concat(
-                F.col("hist_cc_label"), F.lit(" (slope: "), _fixed(slope, 4), F.lit(")")
+            "churn_vs_cluster": F.format_string(fv.CHURN_SIGNAL, _fixed(ratio, 1)),
+            "complexity_trend": F.format_string(
+                fv.TREND_SIGNAL, F.col("hist_cc_label"), _fixed(slope, 4)
             ),
             "maintainability_trend": F.col("hist_mi_label"),
             "import_volatility": F.col("imports_volatility_label"),

@@ -97,7 +97,7 @@ def component_summary(explanations: DataFrame, group: Sequence[str] = ()) -> Dat
     return summary.withColumn(
         "line",
         F.format_string(
-            "%s/: %d files, avg anomaly %.2f, clusters [%s]",
+            fv.COMPONENT_LINE,
             F.col("component"),
             F.col("files"),
             F.col("avg_anomaly"),

@@ -253,17 +253,14 @@ def explain_pending(
 
 def signal_lines(explanations: DataFrame) -> DataFrame:
     signal = text.attention_signal(F.col("explanation"))
-    return explanations.withColumn(
-        "line", F.concat(F.lit("- **"), F.coalesce("file", F.lit("unknown")), F.lit("**: "), signal)
-    )
+    name = F.coalesce("file", F.lit("unknown"))
+    return explanations.withColumn("line", F.format_string(fv.SIGNAL_LINE, name, signal))
 
 
 def summary_lines(explanations: DataFrame) -> DataFrame:
     """The same for baseline descriptions."""
     change = text.change_summary(F.col("explanation"))
-    return explanations.withColumn(
-        "line", F.concat(F.lit("**"), F.col("file"), F.lit("**: "), change)
-    )
+    return explanations.withColumn("line", F.format_string(fv.SUMMARY_LINE, F.col("file"), change))
 
 
 def joined_lines(lines: DataFrame, order: Sequence[Column], group: Sequence[str] = ()) -> DataFrame:
