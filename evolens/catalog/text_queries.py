@@ -314,10 +314,9 @@ def _prompts(spark, folder):
     return explain.prompt_table(flat(spark, folder), _retrieved(spark, folder), clusters)
 
 
-@query(
-    a.with_sql(*CONTEXT, a.TEXT_CHANGES, _RETRIEVED, _CLUSTER_LABELS)
-    + f"""SELECT c.repo_name AS repo, c.file_path AS file, CAST(c.cluster_id AS VARCHAR) AS cluster,
-      anomaly_score, coalesce(e.commits, '') AS provided, md5(concat_ws(chr(10), {_quote(explain.FILE_TASK)},
+_FILE_PROMPTS = f"""file_prompts AS (
+  SELECT c.repo_name AS repo, c.file_path AS file, CAST(c.cluster_id AS VARCHAR) AS cluster,
+      anomaly_score, coalesce(e.commits, '') AS provided, concat_ws(chr(10), {_quote(explain.FILE_TASK)},
       'File: ' || c.file_path, 'Repository: ' || c.repo_name, 'Cluster: ' || k.label,
       'Anomaly: ' || anomaly_context, 'Churn: ' || churn_comparison,
       'Complexity: ' || hist_cc_label || ', ' || complexity_comparison,
@@ -326,9 +325,15 @@ def _prompts(spark, folder):
       'Raw churn rate: ' || printf('%.1f', round_even(raw_churn_rate * 100, 1)) || '%',
       'Diffs:' || chr(10) || coalesce(e.shown, '{fv.NO_DIFFS}'),
       CASE WHEN e.meaningful THEN {_quote(explain.EVIDENCE_RULE)} ELSE {_quote(explain.NO_EVIDENCE_RULE)} END,
-      {_quote(explain.FILE_RULES)})) AS prompt_md5
+      {_quote(explain.FILE_RULES)}) AS prompt
     FROM context c LEFT JOIN evidence e ON e.repo = c.repo_name AND e.file = c.file_path
-      LEFT JOIN cluster_labels k ON k.cluster_id = c.cluster_id"""
+      LEFT JOIN cluster_labels k ON k.cluster_id = c.cluster_id)"""
+_PROMPTS = [*CONTEXT, a.TEXT_CHANGES, _RETRIEVED, _CLUSTER_LABELS, _FILE_PROMPTS]
+
+
+@query(
+    a.with_sql(*_PROMPTS)
+    + "SELECT repo, file, cluster, anomaly_score, provided, md5(prompt) AS prompt_md5 FROM file_prompts"
 )
 def prompt_table(spark, folder):
     rows = _prompts(spark, folder)
@@ -437,20 +442,46 @@ def describe_run(spark, folder):
     )
 
 
-@query()
+_EXPLAINED = f"""chosen AS (
+  SELECT * EXCLUDE (provided), list_filter(string_split(provided, ' '), lambda v: v <> '') AS provided
+  FROM file_prompts ORDER BY anomaly_score DESC, repo, file LIMIT {fv.TOP_K}),
+first_answers AS (
+  SELECT *, CASE WHEN length(prompt) % 7 <> 0 THEN {_replaced_sql("prompt")} END AS answer FROM chosen),
+final_answers AS (
+  SELECT *, CASE WHEN answer IS NULL THEN 'Error generating explanation: refused'
+    WHEN {_WORD_COUNT.format(c="answer")} > {fv.MAX_WORDS} THEN array_to_string(list_filter(string_split_regex(
+      prompt || chr(10) || chr(10) || {_quote(explain.SHORTER_RULE)}, '\s+'), lambda w: w <> '')[:200], ' ')
+    ELSE answer END AS explanation FROM first_answers)"""
+_EXPLAINED_WORDS = a.WORDS.replace("FROM explanations", "FROM final_answers")
+
+
+@query(
+    a.with_sql(*_PROMPTS, _EXPLAINED, _EXPLAINED_WORDS)
+    + f"""SELECT repo, file, cluster, anomaly_score, answer IS NULL AS failed,
+      CASE WHEN answer IS NOT NULL THEN {_WORD_COUNT.format(c="explanation")} END AS word_count,
+      len(list_filter(hashes, lambda t: len(list_filter(provided, lambda v:
+        {_SUPPORTED.format(t='t')})) > 0)) > 0 AS grounded,
+      md5(CASE WHEN len(provided) = 0 OR answer IS NULL THEN explanation ELSE array_to_string(
+        list_transform(parts, lambda w, i: (CASE WHEN regexp_full_match(w, '[a-f0-9]{{7,40}}')
+          AND len(list_filter(provided, lambda v: {_SUPPORTED.format(t='w')})) = 0 THEN '[commit]'
+          ELSE w END) || coalesce(gaps[i], '')), '') END) AS explanation_md5,
+      {fv.TOP_K} AS files_reported FROM tokens"""
+)
 def explain_run(spark, folder):
     """Select, explain, measure, synthesise and report, with the stand-in generator."""
     labelled = add_rule_labels(a.analysed(spark, folder))
     clusters = summary.cluster_summary(labelled)
     retrieved = _retrieved(spark, folder)
     explanations, report = explain.explain_run(flat(spark, folder), retrieved, clusters, parrot)
-    json = report.select("json").scalar()
+    schema = "metadata struct<files_analyzed:int>"
+    reported = report.select(F.from_json("json", schema)["metadata"]["files_analyzed"]).scalar()
     return explanations.select(
         "repo",
         "file",
         "cluster",
         "anomaly_score",
-        F.size("referenced_commits").alias("referenced"),
-        F.length("explanation").alias("chars"),
-        F.coalesce("validation.word_count", F.lit(0)).alias("word_count"),
-    ).withColumn("report_chars", F.length(json))
+        F.col("validation").isNull().alias("failed"),
+        F.col("validation.word_count").cast("bigint").alias("word_count"),
+        (F.size("referenced_commits") > 0).alias("grounded"),
+        F.md5("explanation").alias("explanation_md5"),
+    ).withColumn("files_reported", reported)
