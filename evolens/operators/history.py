@@ -18,7 +18,7 @@ ORDER = ("timestamp", "commit_hash")
 HOT_ROWS = 5_000_000
 # The list of hot keys never grows beyond this; a key that is not on it holds
 # less than one part in so many of all rows.
-MAX_HOT_KEYS = 1_000
+MAX_HOT_KEYS = 100_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_above: int) -> DataFrame | None:

@@ -187,15 +187,27 @@ def knn_overfetch(
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: list[pd.DataFrame] = [pd.DataFrame()] * len(matrix)
+        worst = np.full(len(matrix), np.inf)
         for frame in frames:
             if len(frame) == 0:
                 continue
             x = np.stack(frame["embedding"].to_numpy()).astype(float)
             keys = frame[[*scope, "commit"]]
+            # One product gives all distances but for rounding; whatever that leaves
+            # in reach is measured exactly.
+            squares = (x**2).sum(axis=1)[:, None] + (matrix**2).sum(axis=1)[None, :]
+            rough = squares - 2 * x @ matrix.T
+            slack = 1e-9 * squares.max()
             for i, q in enumerate(matrix):
-                found = keys.assign(distance=((x - q) ** 2).sum(axis=1))
+                reach = worst[i]
+                if len(x) > fetch:
+                    reach = min(reach, np.partition(rough[:, i], fetch - 1)[fetch - 1])
+                near = np.flatnonzero(rough[:, i] <= reach + slack)
+                found = keys.iloc[near].assign(distance=((x[near] - q) ** 2).sum(axis=1))
                 both = pd.concat([best[i], found]) if len(best[i]) else found
                 best[i] = both.sort_values(["distance", "commit"]).head(fetch)
+                if len(best[i]) == fetch:
+                    worst[i] = best[i]["distance"].iloc[-1]
         for i, found in enumerate(best):
             if len(found):
                 for a in asked:
