@@ -450,7 +450,7 @@ first_answers AS (
 final_answers AS (
   SELECT *, CASE WHEN answer IS NULL THEN 'Error generating explanation: refused'
     WHEN {_WORD_COUNT.format(c="answer")} > {fv.MAX_WORDS} THEN array_to_string(list_filter(string_split_regex(
-      prompt || chr(10) || chr(10) || {_quote(explain.SHORTER_RULE)}, '\s+'), lambda w: w <> '')[:200], ' ')
+      prompt || chr(10) || chr(10) || {_quote(explain.SHORTER_RULE)}, '\\s+'), lambda w: w <> '')[:200], ' ')
     ELSE answer END AS explanation FROM first_answers)"""
 _EXPLAINED_WORDS = a.WORDS.replace("FROM explanations", "FROM final_answers")
 
