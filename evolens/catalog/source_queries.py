@@ -325,7 +325,10 @@ def before_after_delta(spark, folder):
     )
     paired = sm.before_after(sides, ["commit_hash"])
     kept = paired.join(languages.filter(F.col("change_lang") != "de"), "commit_hash", "left_semi")
-    return kept.withColumn("cc_delta", F.round("cc_delta", 6))
+    whole = [c for c, kind in kept.dtypes if kind == "int"]
+    return kept.withColumns(
+        {"cc_delta": F.round("cc_delta", 6), **{c: F.col(c).cast("bigint") for c in whole}}
+    )
 
 
 @query(a.with_sql(a.SCRIPTS, a.SCRIPT_LINES) + "SELECT doc_id, loc FROM loc")

@@ -46,6 +46,7 @@ def top_k_per_group(
     """The first ``k`` rows of every group with their ``rank``.
 
     Spark keeps k rows per group on the map side, so a hot group ships k rows per task.
+    For k above 1,000 raise ``spark.sql.optimizer.windowGroupLimitThreshold`` with it.
     """
     ranked = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)

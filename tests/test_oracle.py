@@ -36,3 +36,13 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert df.columns[:3] == ["repo_name", "file_path", "n_commits"]
+
+
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", ["features_all", "before_after_delta", "selection_quality", "validate_text"])
+def test_types(name, spark, folder, duck):
+    spark_types = {c: DUCK_TYPES[t] for c, t in QUERIES[name](spark, folder).dtypes}
+    duck_types = {r[0]: r[1] for r in duck.execute("DESCRIBE " + ORACLES[name]).fetchall()}
+    assert spark_types == duck_types
