@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evolens.llm import bpe, language, secrets
+from evolens.llm import bpe, language, lm_scoring, secrets, toxicity
 from evolens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
+    """Target: documents labelled as of good quality, at most about 20,000 of them; background: all documents."""
+    docs = table(spark, folder, "documents")
+    good = table(spark, folder, "labels").where("quality = 1").select("doc_id", "quality").distinct()
+    return lm_scoring.cross_entropy_difference(docs, lm_scoring.train(docs, language.label_sample(good, "quality", 20_000)))
+
+
+@query
+def op4_toxicity_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    remainder = language.id_remainder(F.col("doc_id"), 5)
+    model = toxicity.train(docs, labels.where(remainder != 0))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return toxicity.scores(docs, model).select("doc_id", (remainder == 0).alias("held_out"), "score", predicted)
+
+
 @query
 def op8_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

@@ -64,8 +64,13 @@ SPACED = byte_class("\t\n\v\f\r ")
 ALNUM = byte_class("".join(chr(c) for c in range(128) if not chr(c).isalnum()))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word and number of words per text; data: all bytes, offsets: where each text begins, and the end."""
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, prefix: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, or of its first `prefix` bytes, and number of words per text.
+
+    data: all bytes; offsets: where each text begins, and the end.
+    """
     n = len(data)
     texts = len(offsets) - 1
     if not n:
@@ -91,6 +96,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tu
             sums[0] = 0
             np.cumsum(_VALUES[data[low:high]] * up[: high - low], out=sums[1:])
             s, e = starts[at:to] - low, ends[at:to] - low
+            if prefix:
+                e = np.minimum(e, s + prefix)
             hashes[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
             at = to
         return _mix(hashes), counts
@@ -132,3 +139,13 @@ def text_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     sums = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
     ends = np.cumsum(counts)
     return sums[ends] - sums[ends - counts]
+
+
+def previous(words: np.ndarray, counts: np.ndarray, back: int) -> np.ndarray:
+    """The word `back` places earlier in the same text, else 0."""
+    before = np.zeros_like(words)
+    before[back:] = words[:-back] if back < len(words) else words[:0]
+    starts = np.cumsum(counts) - counts
+    for k in range(back):
+        before[(starts + k)[counts > k]] = 0
+    return before
