@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evolens.llm import bpe, language, lm_scoring, secrets, toxicity
+from evolens.llm import bpe, html_text, language, lm_scoring, neighbours, secrets, toxicity
 from evolens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,17 @@ def op4_toxicity_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scores(docs, model).select("doc_id", (remainder == 0).alias("held_out"), "score", predicted)
 
 
+@query
+def op5_kmeans_tree_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"), query_divisor=100)
+
+
+@query
+def op6_main_text_segment(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_text.main_text(pages, html_text.train(pages))
+
+
 @query
 def op8_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
