@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evolens.llm import bpe, html_text, language, lm_scoring, neighbours, secrets, toxicity
+from evolens.llm import bpe, html_text, jaccard_join, language, lm_scoring, neighbours, secrets, toxicity
 from evolens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op6_main_text_segment(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_text(pages, html_text.train(pages))
 
 
+@query
+def op7_jaccard_multi_order(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similarity_components(table(spark, folder, "documents"), words=3, percent=90)
+
+
 @query
 def op8_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
