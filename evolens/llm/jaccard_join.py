@@ -7,12 +7,12 @@ whatever the order of tokens, as long as it is the same for all sets. The steps:
 1. Texts with equal sets are one class; from here on there is one set for each class.
 2. First order: rare before frequent. Tokens found in more than HEAVY texts come last (by number of texts), all others by
    hash. A class none of whose prefix tokens is shared has no partner and is done.
-3. Under further orders, by other hashes, classes meet that have the same first token. They are compared with a few
-   pivots of their group, and links join groups. That turns a group of thousands of near copies into one component with
-   a few comparisons for each member, instead of all its pairs. Rounds go on until one finds no link, ROUNDS at most;
-   they save work but decide nothing.
+3. Under further orders, by other hashes of the shared prefix tokens, classes meet that have the same first. A class is
+   compared with others until it is linked. That turns a group of thousands of near copies into one component with a few
+   comparisons for each member, instead of all its pairs. Rounds go on until one finds no link, ROUNDS at most; they
+   save work but decide nothing.
 4. All pairs that share a prefix token under the first order and are still in different components, and whose sizes
-   allow it, must also share prefix tokens under two further orders; what is left is compared exactly. So every link
+   and the token's places allow it, must also share prefix tokens under two further orders; what is left is compared exactly. So every link
    between different components is found, and components are exact.
 
 Hashes make two different shingles equal with a chance of about 2**-64 for each pair. Texts that are null or have no
@@ -36,9 +36,9 @@ from evolens.session import materialise
 HEAVY = 50
 MOST_HEAVY = 1 << 20
 COUNTED = 1 << 61  # tokens whose hash is below it (an eighth) are counted; they are first under the order by hash
-ROUNDS = 6
-PIVOTS = 3
+ROUNDS = 4
 GROUP = 500
+TRIES = 48
 FURTHER_ORDERS = (1, 2)
 
 
@@ -141,26 +141,27 @@ def _postings(docs: DataFrame, words: int, percent: int, heavy: tuple[np.ndarray
         for batch in slices(batches):
             sets = {class_of(s): s for s in shingle_sets(batch, words) if len(s)}
             prefixes = [first_prefix(s, percent, *shared.value) for s in sets.values()]
-            names = np.repeat(np.array(list(sets), dtype=np.int64), [len(p) for p in prefixes])
             if prefixes:
-                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(prefixes)), pa.array(names)], ["token", "class"])
+                lengths = [len(p) for p in prefixes]
+                names = np.repeat(np.array(list(sets), dtype=np.int64), lengths)
+                sizes = np.repeat(np.array([len(s) for s in sets.values()], dtype=np.int32), lengths)
+                places = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+                arrays = [_longs(np.concatenate(prefixes)), pa.array(names), pa.array(sizes), pa.array(places)]
+                yield pa.RecordBatch.from_arrays(arrays, ["token", "class", "n", "place"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, class bigint")
+    return docs.select("text").mapInArrow(run, "token bigint, class bigint, n int, place int")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """class, n, tokens and the first token under each order of the rounds."""
+    """class and tokens of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch, words)
-            firsts = [_longs(np.array([_ordered(s, r).min() if len(s) else 0 for s in sets], np.uint64)) for r in range(1, ROUNDS + 1)]
-            arrays = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            arrays += [pa.array([s.tobytes() for s in sets], pa.binary()), *firsts]
-            yield pa.RecordBatch.from_arrays(arrays, ["class", "n", "tokens", *(f"first{r}" for r in range(1, ROUNDS + 1))])
+            arrays = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["class", "tokens"])
 
-    firsts = ", ".join(f"first{r} bigint" for r in range(1, ROUNDS + 1))
-    return docs.select("text").mapInArrow(run, f"class bigint, n bigint, tokens binary, {firsts}")
+    return docs.select("text").mapInArrow(run, "class bigint, tokens binary")
 
 
 def _with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -170,51 +171,59 @@ def _with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(named, rows["class"] == named["node"], "left").withColumn("component", F.coalesce("_c", "class")).drop("node", "_c")
 
 
-def _round(sets: DataFrame, found: DataFrame | None, order: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes with the same first token under this order and the pivots of their group."""
-    keyed = _with_component(sets.select("class", F.col(f"first{order}").alias("key")), found)
-    draws = [F.min(F.struct(F.xxhash64(F.lit(p), "class").alias("_"), "class", "component")).alias(f"pivot{p}") for p in range(PIVOTS)]
-    groups = keyed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n"), *draws)
-    pivots = F.array_distinct(F.array(*(F.struct(f"pivot{p}.class", f"pivot{p}.component") for p in range(PIVOTS))))
-    groups = groups.where("_low <> _high").select("key", pivots.alias("pivots"), F.ceil(F.col("_n") / GROUP).cast("int").alias("parts"))
-    groups = materialise(groups)
-    members = keyed.join(groups, "key").where(F.exists("pivots", lambda p: p["component"] != F.col("component")))
-    members = members.select("key", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part"), F.lit(0).alias("role"), "class", "component")
-    spread = groups.select("key", "pivots", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    spread = spread.select("key", "part", F.lit(1).alias("role"), F.explode("pivots").alias("p"))
-    asked = spread.select("key", "part", "role", F.col("p.class").alias("class"), F.col("p.component").alias("component"))
-    rows = members.unionByName(asked).join(sets.select("class", "tokens"), "class")
-    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", F.desc("role"))
+def _round(shared: DataFrame, sets: DataFrame, found: DataFrame | None, order: int, percent: int) -> DataFrame:
+    """Links (a, b) found inside groups of classes whose first shared token, under this order, is the same.
+
+    A group is dealt to parts of about GROUP classes. In a part, each class is compared with at most TRIES classes of
+    every other component until one is linked; those with most shared tokens, which are nearest to the middle, come first.
+    """
+    first = F.min_by("token", F.xxhash64(F.lit(order), "token"))
+    keyed = _with_component(shared.groupBy("class").agg(first.alias("key"), F.count("*").alias("common")), found)
+    groups = keyed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n"))
+    groups = groups.where("_low <> _high").select("key", F.ceil(F.col("_n") / GROUP).alias("parts"))
+    members = keyed.join(groups, "key").withColumn("part", F.pmod(F.xxhash64(F.lit(order), "class"), "parts"))
+    rows = members.select("key", "part", "common", "class", "component").join(sets.select("class", "tokens"), "class")
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", F.desc("common"), "class")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at = None
+        root: dict[int, int] = {}
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}
         for batch in batches:
             a, b = [], []
-            names = ("key", "part", "role", "class", "component", "tokens")
-            for key, part, role, name, component, tokens in zip(*(batch.column(c).to_pylist() for c in names)):
+            names = ("key", "part", "class", "component", "tokens")
+            for key, part, name, component, tokens in zip(*(batch.column(c).to_pylist() for c in names)):
                 if (key, part) != at:
-                    at, held = (key, part), []
+                    at, root, held = (key, part), {}, {}
                 mine = np.frombuffer(tokens, dtype=np.uint64)
-                for other, theirs, their_tokens in held:
-                    if theirs != component and name != other and linked(mine, their_tokens, percent):
+                own = component
+                while own in root:
+                    own = root[own]
+                for other in [x for x in held if x != own]:
+                    near = next((n for n, theirs in held[other][:TRIES] if linked(mine, theirs, percent)), None)
+                    if near is not None:
                         a.append(name)
-                        b.append(other)
-                if role:
-                    held.append((name, component, mine))
+                        b.append(near)
+                        low, high = (own, other) if len(held.get(own, ())) < len(held[other]) else (other, own)
+                        root[low] = high
+                        held[high] = held.get(high, []) + held.pop(low, [])
+                        own = high
+                held.setdefault(own, []).append((name, mine))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    columns = rows.select("key", "part", "role", "class", "component", "tokens")
-    return columns.mapInArrow(compare, "a bigint, b bigint")
+    return rows.select("key", "part", "class", "component", "tokens").mapInArrow(compare, "a bigint, b bigint")
 
 
 def _remaining(shared: DataFrame, sets: DataFrame, found: DataFrame | None, percent: int) -> DataFrame:
     """Links between classes of different components that share a prefix token under the first order."""
-    sized = _with_component(shared, found).join(sets.select("class", "n"), "class")
-    parts = sized.groupBy("token", "component").agg(F.count("*").alias("n"))
-    major = parts.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"))
+    sized = _with_component(shared, found)
+    parts = sized.groupBy("token", "component").agg(F.count("*").alias("rows"))
+    major = parts.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("major"), F.count("*").alias("parts"))
     open_ = materialise(sized.join(major.where("parts > 1").drop("parts"), "token"))
-    minor = open_.where("component <> major").select("token", *(F.col(c).alias(f"{c}_a") for c in ("class", "component", "n")))
-    fits = (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")) & (F.col("component") != F.col("component_a"))
+    minor = open_.where("component <> major").select("token", *(F.col(c).alias(f"{c}_a") for c in ("class", "component", "n", "place")))
+    # nothing before the first token they share is shared: the row of that token keeps every pair that can be linked
+    most = F.least(F.col("n") - F.col("place"), F.col("n_a") - F.col("place_a")).cast("bigint")
+    fits = (100 * most >= percent * (F.col("n") + F.col("n_a") - most)) & (F.col("component") != F.col("component_a"))
     once = (F.col("component") == F.col("major")) | (F.col("class_a") < F.col("class"))
     pairs = minor.join(open_, "token").where(fits & once)
     pairs = pairs.select(F.least("class", "class_a").alias("a"), F.greatest("class", "class_a").alias("b")).distinct()
@@ -224,13 +233,19 @@ def _remaining(shared: DataFrame, sets: DataFrame, found: DataFrame | None, perc
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tokens: dict[int, np.ndarray] = {}
+            prefixes: dict[int, list[frozenset[int]]] = {}
+            for side in ("a", "b"):
+                data = batch.column("left" if side == "a" else "right")
+                names, first = np.unique(batch.column(side).to_numpy(), return_index=True)
+                for name, i in zip(names.tolist(), first.tolist()):
+                    if name not in tokens:
+                        tokens[name] = np.frombuffer(data[i].as_py(), dtype=np.uint64)
+                        prefixes[name] = [frozenset(further_prefix(tokens[name], percent, r).tolist()) for r in FURTHER_ORDERS]
             keep = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                x, y = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
-                meets = all(
-                    len(np.intersect1d(further_prefix(x, percent, r), further_prefix(y, percent, r), assume_unique=True)) for r in FURTHER_ORDERS
-                )
-                keep.append(meets and linked(x, y, percent))
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                meets = not any(p.isdisjoint(q) for p, q in zip(prefixes[x], prefixes[y]))
+                keep.append(meets and linked(tokens[x], tokens[y], percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "left", "right").mapInArrow(verify, "a bigint, b bigint")
@@ -252,7 +267,7 @@ def similarity_components(docs: DataFrame, words: int = 3, percent: int = 90) ->
     sets = materialise(_sets(texts, words).join(shared.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]))
     links, found = None, None
     for order in range(1, ROUNDS + 1):
-        new = materialise(_round(sets, found, order, percent))
+        new = materialise(_round(shared, sets, found, order, percent))
         if new.isEmpty():
             break
         links = new if links is None else materialise(links.unionByName(new))
