@@ -50,13 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage there.
+    """Write ``df`` to the shared folder as Parquet and cut its lineage there.
 
-    The copy outlives lost executors, and a column that depends on where a row
-    happened to be (such as a partition number) is fixed once and for all.
+    The copy outlives lost executors, is read by column, and a column that depends on where a row happened to be
+    (such as a partition number) is fixed once and for all.
     """
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
