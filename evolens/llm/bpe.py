@@ -182,14 +182,14 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", digests_only: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """Ids and decoded text of every row, one output row for each input row.
 
-    Columns: the id, n_tokens, ids (little-endian unsigned 32-bit), decoded, ids_sha256, decoded_sha256; digests_only
-    leaves out ids and decoded. Other columns of the input play no part. path: of the vocabulary file, on every node.
+    Columns: the id, n_tokens, the chosen outputs, ids_sha256, decoded_sha256; ids are little-endian unsigned 32-bit. Other columns of the input play no part. path: of the vocabulary file, on every node.
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    real = "" if digests_only else ", ids binary, decoded string"
+    types = {"ids": pa.binary(), "decoded": pa.string()}
+    real = "".join(f", {c} {'binary' if c == 'ids' else 'string'}" for c in outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(path)
@@ -201,16 +201,13 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", digests
                 rows["n_tokens"].append(len(ids) // 4)
                 rows["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
                 rows["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if not digests_only:
-                    rows["ids"].append(ids)
-                    rows["decoded"].append(decoded)
+                for name, value in (("ids", ids), ("decoded", decoded)):
+                    if name in outputs:
+                        rows[name].append(value)
             columns = [batch.column(id_column), pa.array(rows["n_tokens"], pa.int64())]
-            names = [id_column, "n_tokens"]
-            if not digests_only:
-                columns += [pa.array(rows["ids"], pa.binary()), pa.array(rows["decoded"], pa.string())]
-                names += ["ids", "decoded"]
+            columns += [pa.array(rows[c], types[c]) for c in outputs]
             columns += [pa.array(rows[k], pa.string()) for k in ("ids_sha256", "decoded_sha256")]
-            yield pa.RecordBatch.from_arrays(columns, names + ["ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(columns, [id_column, "n_tokens", *outputs, "ids_sha256", "decoded_sha256"])
 
     schema = f"{id_column} {kind}, n_tokens bigint{real}, ids_sha256 string, decoded_sha256 string"
     return docs.select(id_column, "text").mapInArrow(run, schema)

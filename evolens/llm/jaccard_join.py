@@ -281,3 +281,12 @@ def similarity_components(docs: DataFrame, words: int = 3, percent: int = 90) ->
     tied = tied.select("class", "component").join(least, "component").select("class", "component_id")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return named.join(tied, "class", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+
+
+def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component: that of the smallest doc_id. Rows without an id stay as they are."""
+    found = similarity_components(docs.where(F.col("doc_id").isNotNull()), words, percent)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    kept = docs.join(first.hint("shuffle_hash"), F.col("doc_id") == F.col("_first"), "left_semi").withColumn("_text_key", text)
+    return kept.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -172,12 +172,14 @@ def train(docs: DataFrame, sample: int = 800) -> Model:
     return Model(list(zip(*(rows.column(c).to_pylist() for c in ("lang", "run", "n")))))
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns, lang_pred and score (share of the best language, if all were equally likely before) of every row.
+def identify(
+    docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """`keep` columns, prediction and score (share of the best language, if all were equally likely before) of every row.
 
-    Repeated rows are scored each; a column of the input named like a result must not be in `keep`.
+    Repeated rows are scored each. names: of the two results, unlike those in `keep`.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{names[0]}` string, `{names[1]}` double"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,19 +187,26 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         for batch in slices(batches):
             lowered = _lower(batch.column("text"))
             letters = pc.fill_null(pc.match_substring_regex(lowered, r"\pL"), False).to_pylist()
-            names, scores = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows
+            found, scores = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows
             if model.languages:
                 bits = model.code_lengths(*text_bytes(lowered))
                 best = bits.argmin(1)
                 for i, ok in enumerate(letters):
                     if ok:
-                        names[i] = model.languages[best[i]]
+                        found[i] = model.languages[best[i]]
                         scores[i] = 1 / sum(2.0 ** max(-1000.0, bits[i, best[i]] - b) for b in bits[i])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*keep, "lang_pred", "score"],
+                [*(batch.column(c) for c in keep), pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                [*keep, *names],
             )
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
+
+
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all their columns, whose language could be determined."""
+    mark = "_" * (1 + max(len(c) for c in docs.columns))
+    found = identify(docs, model, tuple(docs.columns), (mark + "lang", mark + "score"))
+    return found.where(F.col(mark + "lang") != UNDETERMINED).select(*docs.columns)

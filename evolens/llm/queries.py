@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evolens.llm import bpe, html_text, jaccard_join, language, lm_scoring, neighbours, secrets, toxicity
+from evolens.llm import bpe, decontamination, html_text, jaccard_join, language, lm_scoring, neighbours, pii, secrets, toxicity
 from evolens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,20 @@ def op1_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scoring.cross_entropy_difference(docs, lm_scoring.train(docs, language.label_sample(good, "quality", 20_000)))
 
 
+@query
+def op2_decontamination_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op3_pii_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.detect(table(spark, folder, "documents"))
+    counts = [pii.count_of(k, F.col("base")).alias(f"n_{k}") for k in pii.BASE]
+    digest = F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.joined(F.col("spans")).alias("spans"))
+
+
 @query
 def op4_toxicity_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -74,4 +88,4 @@ def op9_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_bpe_rank_array(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.encode_decode(table(spark, folder, "documents"), path, digests_only=True)
+    return bpe.encode_decode(table(spark, folder, "documents"), path, outputs=())
