@@ -23,14 +23,19 @@ from pyspark.sql import functions as F
 
 from evolens.session import materialise
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Letters, digits and whatever is not ASCII: [^\x00-\x2F\x3A-\x60\x7B-\x7F] of lower-cased text.
+WORD = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]++"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 200_000
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(f"({WORD})"), F.lit(1))
+    """The words as they are written; `_plain` lower-cases A-Z alone, which costs more and is done for few of them."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def _plain(words: Column) -> Column:
+    return F.translate(F.concat_ws(" ", words), _UPPER, _LOWER)
 
 
 def _text_key(text: Column) -> Column:
@@ -38,8 +43,9 @@ def _text_key(text: Column) -> Column:
 
 
 def windows(items: DataFrame, window: int) -> DataFrame:
-    """(item_id, window): every window of every item, once for each item."""
-    words = items.where(F.col("item_id").isNotNull()).select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    """(item_id, window): every window of every item, once for each item; words with A-Z in lower case."""
+    words = items.where(F.col("item_id").isNotNull()).select("item_id", words_of(F.translate("text", _UPPER, _LOWER)).alias("words"))
+    words = words.where(F.size("words") > 0)
     places = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)))
     placed = words.select("item_id", F.explode(F.transform(places, lambda i: F.slice("words", i, F.lit(window)))).alias("window"))
     return placed.distinct()
@@ -48,9 +54,10 @@ def windows(items: DataFrame, window: int) -> DataFrame:
 def _rarest(docs: DataFrame, cut: DataFrame, block: int) -> DataFrame:
     """(window, word, offset): each window's rarest word and where it stands in it."""
     placed = cut.select("window").distinct().select("window", F.posexplode("window").alias("offset", "word"))
+    placed = placed.withColumn("word", F.lower("word"))  # meets more words than A-Z in lower case would; compared later
     wanted = materialise(placed.select("word").distinct())
     parts = -(-wanted.count() // block)
-    exploded = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
+    exploded = docs.select(F.explode(words_of(F.col("text"))).alias("word")).select(F.lower("word").alias("word"))
     counts = []
     for part in range(max(1, parts)):
         some = wanted.where(F.pmod(F.xxhash64("word"), F.lit(max(1, parts))) == part)
@@ -66,13 +73,13 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, block: int
     prefixes = materialise(_rarest(docs, windows(items, window), block))
     parts = max(1, -(-prefixes.count() // block))
     words = docs.select("doc_id", _text_key(F.col("text")).alias("text_key"), words_of(F.col("text")).alias("words"))
-    exploded = words.select("doc_id", "text_key", "words", F.posexplode("words").alias("place", "word"))
+    exploded = words.select("doc_id", "text_key", "words", F.posexplode("words").alias("place", "word")).withColumn("word", F.lower("word"))
     found = []
     for part in range(parts):
         some = F.broadcast(prefixes.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part))
         start = F.col("place") - F.col("offset")
         fits = (start >= 0) & (start + F.size("window") <= F.size("words"))
-        same = F.when(fits, F.slice("words", start + 1, F.size("window")) == F.col("window")).otherwise(False)
+        same = F.when(fits, _plain(F.slice("words", start + 1, F.size("window"))) == F.concat_ws(" ", "window")).otherwise(False)
         found.append(exploded.join(some, "word").where(same).select("doc_id", "text_key", "window", start.alias("start")))
     return reduce(DataFrame.unionByName, found)
 
@@ -100,7 +107,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block: in
     rows = docs.select(
         "doc_id",
         _text_key(F.col("text")).alias("text_key"),
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_CASED_WORD)).cast("bigint").alias("n_words"),
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_words"),
     )
     joined = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     items_found = F.coalesce("_items", F.array().cast("array<string>"))
