@@ -6,13 +6,15 @@ whatever the order of tokens, as long as it is the same for all sets. The steps:
 
 1. Texts with equal sets are one class; from here on there is one set for each class.
 2. First order: rare before frequent. Tokens found in more than HEAVY texts come last (by number of texts), all others by
-   hash. A class none of whose prefix tokens is shared has no partner and is done.
+   hash. Only an eighth of the tokens is counted, that whose hashes come first, which is about what prefixes are made
+   of; the others count as rare. A class none of whose prefix tokens is shared has no partner and is done.
 3. Under further orders, by other hashes of the shared prefix tokens, classes meet that have the same first. A class is
    compared with others until it is linked. That turns a group of thousands of near copies into one component with a few
    comparisons for each member, instead of all its pairs. Rounds go on until one finds no link, ROUNDS at most; they
    save work but decide nothing.
 4. All pairs that share a prefix token under the first order and are still in different components, and whose sizes
-   and the token's places allow it, must also share prefix tokens under two further orders; what is left is compared exactly. So every link
+   and the token's places allow it, are compared by a sketch (token counts by bucket, which bound the overlap from
+   above), must also share prefix tokens under two further orders, and are then compared exactly. So every link
    between different components is found, and components are exact.
 
 Hashes make two different shingles equal with a chance of about 2**-64 for each pair. Texts that are null or have no
@@ -33,10 +35,11 @@ from evolens.llm.components import components
 from evolens.llm.words import SPACED, _mix, combine, slices, text_bytes, word_hashes
 from evolens.session import materialise
 
-HEAVY = 50
+HEAVY = 1
 MOST_HEAVY = 1 << 20
+MOST_BROADCAST = 1_000_000  # ids
 COUNTED = 1 << 61  # tokens whose hash is below it (an eighth) are counted; they are first under the order by hash
-ROUNDS = 4
+ROUNDS = 3
 GROUP = 500
 TRIES = 48
 FURTHER_ORDERS = (1, 2)
@@ -87,6 +90,20 @@ def further_prefix(tokens: np.ndarray, percent: int, order: int) -> np.ndarray:
     return np.sort(_ordered(tokens, order))[: prefix_length(len(tokens), percent)]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each of about half as many buckets."""
+    bits = min(12, max(4, int(len(tokens) / 2).bit_length()))
+    return np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32).astype("<i4").tobytes()
+
+
+def can_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """False if the sketches show that the sets cannot be linked: no bucket shares more than its smaller count."""
+    total = int(a.sum()) + int(b.sum())
+    size = min(len(a), len(b))
+    most = int(np.minimum(a.reshape(size, -1).sum(1), b.reshape(size, -1).sum(1)).sum())
+    return 100 * most >= percent * (total - most)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     least, most = sorted((len(a), len(b)))
     if not least or 100 * least < percent * most:
@@ -153,15 +170,16 @@ def _postings(docs: DataFrame, words: int, percent: int, heavy: tuple[np.ndarray
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """class and tokens of every text."""
+    """class, tokens and sketch of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch, words)
-            arrays = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["class", "tokens"])
+            arrays = [pa.array([class_of(s) for s in sets], pa.int64())]
+            arrays += [pa.array([f(s) for s in sets], pa.binary()) for f in (np.ndarray.tobytes, sketch)]
+            yield pa.RecordBatch.from_arrays(arrays, ["class", "tokens", "sketch"])
 
-    return docs.select("text").mapInArrow(run, "class bigint, tokens binary")
+    return docs.select("text").mapInArrow(run, "class bigint, tokens binary, sketch binary")
 
 
 def _with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -227,9 +245,19 @@ def _remaining(shared: DataFrame, sets: DataFrame, found: DataFrame | None, perc
     once = (F.col("component") == F.col("major")) | (F.col("class_a") < F.col("class"))
     pairs = minor.join(open_, "token").where(fits & once)
     pairs = pairs.select(F.least("class", "class_a").alias("a"), F.greatest("class", "class_a").alias("b")).distinct()
-    held = sets.select("class", "tokens")
-    left = pairs.join(held.withColumnsRenamed({"class": "a", "tokens": "left"}), "a")
-    both = left.join(held.withColumnsRenamed({"class": "b", "tokens": "right"}), "b")
+
+    def beside(pairs: DataFrame, column: str) -> DataFrame:
+        held = sets.select("class", column)
+        left = pairs.join(held.withColumnsRenamed({"class": "a", column: "left"}), "a")
+        return left.join(held.withColumnsRenamed({"class": "b", column: "right"}), "b").select("a", "b", "left", "right")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[np.frombuffer(x, dtype="<i4") for x in batch.column(c).to_pylist()] for c in ("left", "right")]
+            keep = [can_link(x, y, percent) for x, y in zip(*sides)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = beside(materialise(beside(pairs, "sketch").mapInArrow(possible, "a bigint, b bigint")), "tokens")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +276,13 @@ def _remaining(shared: DataFrame, sets: DataFrame, found: DataFrame | None, perc
                 keep.append(meets and linked(tokens[x], tokens[y], percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "left", "right").mapInArrow(verify, "a bigint, b bigint")
+    return both.mapInArrow(verify, "a bigint, b bigint")
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if it is counted to be small, else to be shuffled and hashed."""
+    ids = materialise(ids)
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids.hint("shuffle_hash")
 
 
 def similarity_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -262,9 +296,9 @@ def similarity_components(docs: DataFrame, words: int = 3, percent: int = 90) ->
     common = postings.groupBy("token").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).where("_low <> _high").select("token")
     shared = materialise(postings.join(common, "token", "left_semi").distinct())
     owners = named.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("_owner"))
-    owners = owners.join(shared.select("class").distinct(), "class", "left_semi").select("_owner").hint("shuffle_hash")
+    owners = _sized(owners.join(shared.select("class").distinct(), "class", "left_semi").select("_owner"))
     texts = docs.select("doc_id", "text").join(owners, F.col("doc_id") == F.col("_owner"), "left_semi")
-    sets = materialise(_sets(texts, words).join(shared.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]))
+    sets = materialise(_sets(texts, words))  # an id that occurs twice may bring a set that no join asks for
     links, found = None, None
     for order in range(1, ROUNDS + 1):
         new = materialise(_round(shared, sets, found, order, percent))
@@ -285,8 +319,14 @@ def similarity_components(docs: DataFrame, words: int = 3, percent: int = 90) ->
 
 def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component: that of the smallest doc_id. Rows without an id stay as they are."""
-    found = similarity_components(docs.where(F.col("doc_id").isNotNull()), words, percent)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull())
+    found = similarity_components(named, words, percent)
+    later = _sized(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_later")).distinct())
+    kept = named.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
+    repeated = named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated"))
+    repeated = _sized(repeated)
+    twice = kept.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_semi")
+    once = kept.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_anti")
     text = F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = docs.join(first.hint("shuffle_hash"), F.col("doc_id") == F.col("_first"), "left_semi").withColumn("_text_key", text)
-    return kept.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key").unionByName(docs.where(F.col("doc_id").isNull()))
+    twice = twice.withColumn("_text_key", text).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    return once.unionByName(twice).unionByName(docs.where(F.col("doc_id").isNull()))
