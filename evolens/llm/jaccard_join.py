@@ -6,8 +6,9 @@ whatever the order of tokens, as long as it is the same for all sets. The steps:
 
 1. Texts with equal sets are one class; from here on there is one set for each class.
 2. First order: rare before frequent. Tokens found in more than HEAVY texts come last (by number of texts), all others by
-   hash. Only an eighth of the tokens is counted, that whose hashes come first, which is about what prefixes are made
-   of; the others count as rare. A class none of whose prefix tokens is shared has no partner and is done.
+   hash. Only tokens whose hashes come first are counted, somewhat more than prefixes are made of; the others count as
+   rare. Prefixes are a little longer than needed, so that more than one token
+   must be shared; a class with fewer shared prefix tokens has no partner and is done.
 3. Under further orders, by other hashes of the shared prefix tokens, classes meet that have the same first. A class is
    compared with others until it is linked. That turns a group of thousands of near copies into one component with a few
    comparisons for each member, instead of all its pairs. Rounds go on until one finds no link, ROUNDS at most; they
@@ -38,7 +39,8 @@ from evolens.session import materialise
 HEAVY = 1
 MOST_HEAVY = 1 << 20
 MOST_BROADCAST = 1_000_000  # ids
-COUNTED = 1 << 61  # tokens whose hash is below it (an eighth) are counted; they are first under the order by hash
+COUNTED = 1.25  # times the share of a set that a prefix takes: so much of the tokens, by hash, is counted
+FURTHER_COMMON = 50  # a prefix is longer by a token for each so many tokens, and as many more tokens must be shared
 ROUNDS = 3
 GROUP = 500
 TRIES = 48
@@ -75,9 +77,14 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def counted_below(percent: int) -> int:
+    """The hash below which tokens are counted; those come first under the order by hash."""
+    return min((1 << 64) - 1, int((1 << 64) * COUNTED * (100 - percent) / 100))
+
+
 def first_prefix(tokens: np.ndarray, percent: int, heavy: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Prefix tokens under the order that puts heavy tokens last."""
-    length = prefix_length(len(tokens), percent)
+    """Prefix tokens under the order that puts heavy tokens last, longer by size // FURTHER_COMMON."""
+    length = prefix_length(len(tokens), percent) + len(tokens) // FURTHER_COMMON
     weight = np.zeros(len(tokens), dtype=np.int64)
     if len(heavy):
         at = np.searchsorted(heavy, tokens)
@@ -130,12 +137,14 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, class bigint")
 
 
-def _heavy_tokens(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+def _heavy_tokens(docs: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    below = counted_below(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch, words)
             tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            token, n = np.unique(tokens[tokens < np.uint64(COUNTED)], return_counts=True)
+            token, n = np.unique(tokens[tokens < np.uint64(below)], return_counts=True)
             yield pa.RecordBatch.from_arrays([_longs(token), pa.array(n.astype(np.int64))], ["token", "n"])
 
     counted = docs.select("text").mapInArrow(run, "token bigint, n bigint")
@@ -291,10 +300,15 @@ def similarity_components(docs: DataFrame, words: int = 3, percent: int = 90) ->
     component_id is the smallest doc_id that can be reached by links, the row's own included.
     """
     named = materialise(_classes(docs, words))
-    heavy = _heavy_tokens(docs, words)
+    heavy = _heavy_tokens(docs, words, percent)
     postings = _postings(docs, words, percent, heavy)
     common = postings.groupBy("token").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).where("_low <> _high").select("token")
-    shared = materialise(postings.join(common, "token", "left_semi").distinct())
+    shared = postings.join(common, "token", "left_semi").distinct()
+    # a partner has at least percent of the size, and shares as many prefix tokens as its and this prefix are longer by
+    least = 1 + F.floor(F.ceil(F.max("n") * (percent / 100) - 1e-6) / FURTHER_COMMON)
+    shared = materialise(shared)
+    counted = shared.groupBy("class").agg(F.count("*").alias("_shared"), least.alias("_least"))
+    shared = materialise(shared.join(_sized(counted.where("_shared >= _least").select("class")), "class", "left_semi"))
     owners = named.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("_owner"))
     owners = _sized(owners.join(shared.select("class").distinct(), "class", "left_semi").select("_owner"))
     texts = docs.select("doc_id", "text").join(owners, F.col("doc_id") == F.col("_owner"), "left_semi")
