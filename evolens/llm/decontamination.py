@@ -103,7 +103,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block: in
     hits = found.groupBy(*keys).agg(_covered(F.array_sort(F.collect_set(span))).cast("bigint").alias("n_hit"))
     of_items = found.select(*keys, "window").distinct().join(cut, "window").groupBy(*keys)
     listed = of_items.agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
-    hits = hits.join(listed, keys).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    hits = hits.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    hits = hits.join(listed, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))).drop(*keys)
     rows = docs.select(
         "doc_id",
         _text_key(F.col("text")).alias("text_key"),

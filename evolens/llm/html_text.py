@@ -5,8 +5,8 @@ where labelled means that the author marked the content (one <article> or <main>
 with the same nearest tag that stand inside marked content; a tag costs 1 plus 8 times the share of its kind that stands
 outside. Everything in an element that is never content by its own kind (menus, footers, sidebars, forms, scripts,
 styles, or by name: adverts, notices, comments, ...) costs as much as a tag word by word. One linear scan finds the
-segment with the greatest sum; it is widened to the blocks of text that touch it, and its words outside of such
-elements are the text.
+segment with the greatest sum; it is widened to the blocks of text that touch it, also behind such an element, and its
+words outside of such elements are the text.
 
 Character references are decoded after the markup is taken off, white space inside a block becomes one space, blocks are
 joined by one space. Null and empty pages, and pages without a word of content, give an empty text. No page is cut:
@@ -148,7 +148,7 @@ def extract(page: str, weights: Weights) -> str:
         return ""
 
     def joins(item: Item) -> bool:
-        return not item.never and (item.words is not None or item.name in TEXT_BLOCKS or item.name in INLINE)
+        return item.never or item.words is not None or item.name in TEXT_BLOCKS or item.name in INLINE
 
     while low and joins(found[low - 1]):
         low -= 1
