@@ -7,14 +7,15 @@ whatever the order of tokens, as long as it is the same for all sets. The steps:
 1. Texts with equal sets are one class; from here on there is one set for each class.
 2. First order: rare before frequent. Tokens found in more than HEAVY texts come last (by number of texts), all others by
    hash. Only tokens whose hashes come first are counted, somewhat more than prefixes are made of; the others count as
-   rare. Prefixes are a little longer than needed, so that more than one token
-   must be shared; a class with fewer shared prefix tokens has no partner and is done.
+   rare. A bit filter of the tokens counted more than once goes to every task, so that tokens of one text alone are not
+   shuffled again; where it is too small for the table, it lets more of them through. Prefixes are longer than needed,
+   so that more than one token must be shared; a class with fewer shared prefix tokens has no partner and is done.
 3. Under further orders, by other hashes of the shared prefix tokens, classes meet that have the same first. A class is
    compared with others until it is linked. That turns a group of thousands of near copies into one component with a few
-   comparisons for each member, instead of all its pairs. Rounds go on until one finds no link, ROUNDS at most; they
+   comparisons for each member, instead of all its pairs. Rounds go on until one finds few links, ROUNDS at most; they
    save work but decide nothing.
-4. All pairs that share a prefix token under the first order and are still in different components, and whose sizes
-   and the token's places allow it, are compared by a sketch (token counts by bucket, which bound the overlap from
+4. All pairs that share enough prefix tokens under the first order and are still in different components, and whose
+   sizes and the tokens' places allow it, are compared by a sketch (token counts by bucket, which bound the overlap from
    above), must also share prefix tokens under two further orders, and are then compared exactly. So every link
    between different components is found, and components are exact.
 
@@ -38,9 +39,12 @@ from evolens.session import materialise
 
 HEAVY = 1
 MOST_HEAVY = 1 << 20
+FILTER_BITS = 8  # of the filter, for each token in it
+MOST_WORDS = 23  # the filter has at most 2 ** 23 words of 64 bits (64 MB)
+MARKS = (23, 29, 35)  # a token marks the bits of its word that are named by its own six bits from these places
 MOST_BROADCAST = 1_000_000  # ids
-COUNTED = 1.25  # times the share of a set that a prefix takes: so much of the tokens, by hash, is counted
-FURTHER_COMMON = 50  # a prefix is longer by a token for each so many tokens, and as many more tokens must be shared
+COUNTED = 1.55  # times the share of a set that a prefix takes: so much of the tokens, by hash, is counted
+FURTHER_COMMON = 20  # a prefix is longer by a token for each so many tokens, and as many more tokens must be shared
 ROUNDS = 3
 GROUP = 500
 TRIES = 48
@@ -97,10 +101,29 @@ def further_prefix(tokens: np.ndarray, percent: int, order: int) -> np.ndarray:
     return np.sort(_ordered(tokens, order))[: prefix_length(len(tokens), percent)]
 
 
+def filter_marks(tokens: np.ndarray) -> np.ndarray:
+    marks = np.zeros(len(tokens), dtype=np.uint64)
+    for place in MARKS:
+        marks |= np.uint64(1) << ((tokens >> np.uint64(place)) & np.uint64(63))
+    return marks
+
+
+def may_repeat(tokens: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """False for tokens that are surely not in the filter."""
+    marks = filter_marks(tokens)
+    return words[tokens & np.uint64(len(words) - 1)] & marks == marks
+
+
 def sketch(tokens: np.ndarray) -> bytes:
-    """How many tokens fall into each of about half as many buckets."""
+    """How many tokens fall into each of about half as many buckets, in the narrowest numbers; first byte: their width."""
     bits = min(12, max(4, int(len(tokens) / 2).bit_length()))
-    return np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32).astype("<i4").tobytes()
+    counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def sketch_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def can_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -137,7 +160,18 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, class bigint")
 
 
-def _heavy_tokens(docs: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _repeated(heavy: DataFrame, n: int) -> np.ndarray:
+    """The filter of all tokens of the table."""
+    size = 1 << min(MOST_WORDS, max(10, (n * FILTER_BITS // 64).bit_length()))
+    marks = "|".join(f"shiftleft(1L, cast(shiftrightunsigned(token, {place}) & 63 as int))" for place in MARKS)
+    rows = heavy.groupBy(F.col("token").bitwiseAND(F.lit(size - 1)).alias("word")).agg(F.bit_or(F.expr(marks)).alias("marks")).toArrow()
+    found = np.zeros(size, dtype=np.uint64)
+    found[rows.column("word").to_numpy()] = rows.column("marks").to_numpy().view(np.uint64)
+    return found
+
+
+def _heavy_tokens(docs: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent of the counted tokens with their numbers of texts, and the filter of all that repeat."""
     below = counted_below(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,29 +183,36 @@ def _heavy_tokens(docs: DataFrame, words: int, percent: int) -> tuple[np.ndarray
 
     counted = docs.select("text").mapInArrow(run, "token bigint, n bigint")
     heavy = materialise(counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY))
-    bound = HEAVY
-    while heavy.where(F.col("n") > bound).count() > MOST_HEAVY:
+    bound, repeated = HEAVY, heavy.count()
+    filtered, n = _repeated(heavy, repeated), repeated
+    while n > MOST_HEAVY:
         bound *= 2
+        n = heavy.where(F.col("n") > bound).count()
     rows = heavy.where(F.col("n") > bound).toArrow()
     if not rows.num_rows:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), filtered
     tokens = rows.column("token").to_numpy().view(np.uint64)
     by = np.argsort(tokens)
-    return tokens[by], rows.column("n").to_numpy()[by]
+    return tokens[by], rows.column("n").to_numpy()[by], filtered
 
 
-def _postings(docs: DataFrame, words: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _postings(docs: DataFrame, words: int, percent: int, heavy: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """Prefix tokens of every text that another text may have too."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    below = np.uint64(counted_below(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = {class_of(s): s for s in shingle_sets(batch, words) if len(s)}
-            prefixes = [first_prefix(s, percent, *shared.value) for s in sets.values()]
+            *heaviest, repeated = shared.value
+            prefixes = [first_prefix(s, percent, *heaviest) for s in sets.values()]
             if prefixes:
+                at = [np.flatnonzero((p >= below) | may_repeat(p, repeated)) for p in prefixes]
+                prefixes = [p[kept] for p, kept in zip(prefixes, at)]
                 lengths = [len(p) for p in prefixes]
                 names = np.repeat(np.array(list(sets), dtype=np.int64), lengths)
                 sizes = np.repeat(np.array([len(s) for s in sets.values()], dtype=np.int32), lengths)
-                places = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+                places = np.concatenate(at).astype(np.int32)
                 arrays = [_longs(np.concatenate(prefixes)), pa.array(names), pa.array(sizes), pa.array(places)]
                 yield pa.RecordBatch.from_arrays(arrays, ["token", "class", "n", "place"])
 
@@ -250,19 +291,26 @@ def _remaining(shared: DataFrame, sets: DataFrame, found: DataFrame | None, perc
     minor = open_.where("component <> major").select("token", *(F.col(c).alias(f"{c}_a") for c in ("class", "component", "n", "place")))
     # nothing before the first token they share is shared: the row of that token keeps every pair that can be linked
     most = F.least(F.col("n") - F.col("place"), F.col("n_a") - F.col("place_a")).cast("bigint")
-    fits = (100 * most >= percent * (F.col("n") + F.col("n_a") - most)) & (F.col("component") != F.col("component_a"))
+    sizes = 100 * F.least("n", "n_a").cast("bigint") >= percent * F.greatest("n", "n_a").cast("bigint")
+    different = F.col("component") != F.col("component_a")
+    fits = 100 * most >= percent * (F.col("n") + F.col("n_a") - most)
     once = (F.col("component") == F.col("major")) | (F.col("class_a") < F.col("class"))
-    pairs = minor.join(open_, "token").where(fits & once)
-    pairs = pairs.select(F.least("class", "class_a").alias("a"), F.greatest("class", "class_a").alias("b")).distinct()
+    pairs = minor.join(open_, "token").where(different & sizes & once)
+    pairs = pairs.groupBy(F.least("class", "class_a").alias("a"), F.greatest("class", "class_a").alias("b"))
+    # each token that two classes share is one row here
+    enough = 1 + F.floor(F.min(F.least("n", "n_a")) / FURTHER_COMMON)
+    pairs = pairs.agg(F.count("*").alias("_common"), enough.alias("_enough"), F.max(fits).alias("_fits"))
+    pairs = materialise(pairs.where("_fits and _common >= _enough").select("a", "b"))
 
     def beside(pairs: DataFrame, column: str) -> DataFrame:
-        held = sets.select("class", column)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        held = sets.select("class", column).join(_sized(ids), "class", "left_semi")
         left = pairs.join(held.withColumnsRenamed({"class": "a", column: "left"}), "a")
         return left.join(held.withColumnsRenamed({"class": "b", column: "right"}), "b").select("a", "b", "left", "right")
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [[np.frombuffer(x, dtype="<i4") for x in batch.column(c).to_pylist()] for c in ("left", "right")]
+            sides = [[sketch_counts(x) for x in batch.column(c).to_pylist()] for c in ("left", "right")]
             keep = [can_link(x, y, percent) for x, y in zip(*sides)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -301,7 +349,7 @@ def similarity_components(docs: DataFrame, words: int = 3, percent: int = 90) ->
     """
     named = materialise(_classes(docs, words))
     heavy = _heavy_tokens(docs, words, percent)
-    postings = _postings(docs, words, percent, heavy)
+    postings = materialise(_postings(docs, words, percent, heavy))
     common = postings.groupBy("token").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).where("_low <> _high").select("token")
     shared = postings.join(common, "token", "left_semi").distinct()
     # a partner has at least percent of the size, and shares as many prefix tokens as its and this prefix are longer by
@@ -313,13 +361,17 @@ def similarity_components(docs: DataFrame, words: int = 3, percent: int = 90) ->
     owners = _sized(owners.join(shared.select("class").distinct(), "class", "left_semi").select("_owner"))
     texts = docs.select("doc_id", "text").join(owners, F.col("doc_id") == F.col("_owner"), "left_semi")
     sets = materialise(_sets(texts, words))  # an id that occurs twice may bring a set that no join asks for
-    links, found = None, None
+    links, found, most = None, None, 0
     for order in range(1, ROUNDS + 1):
         new = materialise(_round(shared, sets, found, order, percent))
-        if new.isEmpty():
+        n = new.count()
+        most = max(most, n)
+        if not n:
             break
         links = new if links is None else materialise(links.unionByName(new))
         found = materialise(components(links))
+        if 10 * n < most:
+            break
     new = materialise(_remaining(shared, sets, found, percent))
     if not new.isEmpty():
         links = new if links is None else links.unionByName(new)
