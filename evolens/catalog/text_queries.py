@@ -282,8 +282,8 @@ _RETRIEVED = """retrieved AS (
   SELECT repo_name AS repo, file_path AS file, commit_hash AS "commit", content AS document,
     row_number() OVER (PARTITION BY repo_name, file_path ORDER BY commit_hash) AS rank FROM text_changes),
 evidence AS (
-  SELECT repo, file, string_agg(chr(10) || '### Diff ' || rank || ' (Commit: ' || "commit"[1:8] || ')' || chr(10)
-    || '```' || chr(10) || document || chr(10) || '```' || chr(10), '' ORDER BY rank) AS shown,
+  SELECT repo, file, string_agg('[change ' || rank || ', made by ' || "commit"[1:8] || ']' || chr(10)
+    || document || chr(10) || '[end of change ' || rank || ']' || chr(10), '' ORDER BY rank) AS shown,
     max(length(document)) > 100 AS meaningful, string_agg("commit", ' ' ORDER BY rank) AS commits
   FROM retrieved WHERE rank <= 2 GROUP BY repo, file)"""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -26,7 +25,7 @@ def file_name(path: Column) -> Column:
 
 
 def has_suffix(path: Column, suffixes: Sequence[str]) -> Column:
-    return path.rlike("(?:" + "|".join(re.escape(s) for s in suffixes) + ")$")
+    return reduce(or_, [path.endswith(s) for s in suffixes])
 
 
 def _in_directory(parts: Column, names: Sequence[str]) -> Column:

@@ -6,9 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Something after the time of day: an offset or a zone.
+_ZONE = r":[0-9.]+ *[A-Za-z+-].*$"
+
+
 def parse_instant(text: Column) -> Column:
-    """ISO 8601 text with an optional offset to an instant; null when it does not parse."""
-    return F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")))
+    """ISO 8601 text to an instant, in UTC where it names no offset; null when it does not parse."""
+    written = F.nullif(F.trim(text), F.lit(""))
+    parsed = F.try_to_timestamp(written)
+    return (
+        F.when(written.rlike(_ZONE), parsed)
+        .when(written.contains(":"), F.try_to_timestamp(F.concat(written, F.lit("Z"))))
+        .otherwise(F.from_utc_timestamp(parsed, F.current_timezone()))
+    )
 
 
 def parse_number(text: Column) -> Column:

@@ -235,7 +235,7 @@ def knn_windowed(
     """Documents of the commits a query names, at most ``k`` per scope.
 
     ``queries`` has ``query`` and ``inflection_commits``. A query that names none
-    takes the nearest documents of its scope. With at most k named documents all
+    takes the nearest documents of its scope, measured by squared distance. With at most k named documents all
     are returned with similarity 1, in index order; else the k nearest.
     """
     scope = list(scope)
@@ -243,7 +243,9 @@ def knn_windowed(
     named = F.coalesce(F.size("inflection_commits"), F.lit(0)) > 0
     pairs = lookup_join(corpus, asked, scope, salt_on=[*scope, "commit"]).withColumn("named", named)
     candidates = pairs.filter(~F.col("named") | F.array_contains("inflection_commits", F.col("commit")))
-    candidates = candidates.withColumn("distance", vectors.l2(F.col("embedding"), F.col("query")))
+    squared = vectors.squared_l2(F.col("embedding"), F.col("query"))
+    distance = F.when(F.col("named"), F.sqrt(squared)).otherwise(squared)
+    candidates = candidates.withColumn("distance", distance)
     # k + 1 rows are enough to tell whether a scope has more than k candidates.
     few = _ranked(candidates, scope, k + 1)
     size = F.count("*").over(Window.partitionBy(*scope))

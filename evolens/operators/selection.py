@@ -22,7 +22,7 @@ def filter_repo(df: DataFrame, repo: str | None) -> DataFrame:
         return df
     chosen = df.filter(F.col("repo_name") == repo)
     if chosen.isEmpty():
-        known = df.select("repo_name").distinct().orderBy("repo_name").limit(100).collect()
+        known = df.select("repo_name").distinct().orderBy("repo_name").collect()
         names = ", ".join(str(r.repo_name) for r in known)
         raise ValueError(f"no rows for repository '{repo}'; available: {names}")
     return chosen

@@ -46,6 +46,7 @@ CHANGES_TASK = "Summarise the kinds of change these descriptions have in common.
 SYNTHESIS_TASK = "Describe patterns that show only when these files are compared with each other."
 
 MAX_SHOWN = 2
+SHOWN_CHANGE = "[change %d, made by %s]\n%s\n[end of change %d]\n"
 
 
 def evidence_text(documents: Column) -> Column:
@@ -53,10 +54,7 @@ def evidence_text(documents: Column) -> Column:
     shown = F.transform(
         F.slice(documents, 1, MAX_SHOWN),
         lambda d, i: F.format_string(
-            "\n### Diff %d (Commit: %s)\n```\n%s\n```\n",
-            i + 1,
-            text.short_hash(d["commit"]),
-            d["document"],
+            SHOWN_CHANGE, i + 1, text.short_hash(d["commit"]), d["document"], i + 1
         ),
     )
     return F.when(F.coalesce(F.size(documents), F.lit(0)) > 0, F.array_join(shown, "")).otherwise(
@@ -148,23 +146,24 @@ def prompt_table(
 
 
 def generate(prompts: DataFrame, generator: Generator, column: str = "prompt") -> DataFrame:
-    """Add ``response`` and ``error``. A batch that fails is tried row by row, and a
-    row that fails keeps its error while the job goes on."""
-
-    def one(prompt: str) -> tuple[str | None, str | None]:
-        try:
-            return generator([prompt])[0], None
-        except Exception as e:  # noqa: BLE001 - any failure becomes an error row
-            return None, str(e)
+    """Add ``response`` and ``error``. A batch that fails is halved until the rows that
+    fail stand alone; those keep their error while the job goes on. A row that stood
+    alone is not sent again."""
 
     def answers(batch: list[str]) -> list[tuple[str | None, str | None]]:
+        if not batch:
+            return []
         try:
-            texts = list(generator(batch)) if batch else []
+            texts = list(generator(batch))
             if len(texts) == len(batch):
                 return [(t, None) for t in texts]
-        except Exception:  # noqa: BLE001 - found out row by row below
-            pass
-        return [one(p) for p in batch]
+            error = f"{len(texts)} answers to {len(batch)} prompts"
+        except Exception as e:  # noqa: BLE001 - any failure becomes an error row
+            error = str(e)
+        if len(batch) == 1:
+            return [(None, error)]
+        half = len(batch) // 2
+        return answers(batch[:half]) + answers(batch[half:])
 
     @F.pandas_udf("response string, error string")
     def respond(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -180,7 +179,7 @@ def explain(prompts: DataFrame, generator: Generator) -> DataFrame:
     """Explanations of a prompt table: generated, cleaned, checked, retried and grounded.
 
     Answers over the word limit are asked for once more with a shorter limit.
-    First answers are stored, so no row is generated twice.
+    First answers are stored, so no row is generated anew when its answer is read again.
     """
     def checked(df: DataFrame, explanation: Column) -> DataFrame:
         answered = df.withColumn("explanation", explanation)

@@ -1,5 +1,7 @@
 """Prompts, generation with failures and retries, and resuming."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,23 @@ def test_resumed_run_explains_only_what_is_left(spark, tmp_path):
     assert sorted(r.explanation for r in both.collect()) == ["new", "old"]
 
 
+def test_failing_rows_do_not_send_the_others_again(spark, tmp_path):
+    log = str(tmp_path)
+
+    def generator(prompts):
+        with open(f"{log}/{uuid.uuid4()}", "w") as f:
+            f.write(str(len(prompts)))
+        if "bad" in prompts:
+            raise ValueError("refused")
+        return [p.upper() for p in prompts]
+
+    prompts = [("bad" if i == 5 else f"p{i}",) for i in range(64)]
+    rows = explain.generate(spark.createDataFrame(prompts, "prompt string").coalesce(1), generator).collect()
+    assert [r.error for r in rows if r.prompt == "bad"] == ["refused"]
+    assert all(r.response == r.prompt.upper() for r in rows if r.prompt != "bad")
+    assert len(list(tmp_path.iterdir())) == 13  # the whole, two halves of each of six failing lists
+
+
 def test_evidence(spark):
     schema = "i int, d array<struct<rank:int,commit:string,document:string>>"
     df = spark.createDataFrame(
@@ -68,7 +87,7 @@ def test_evidence(spark):
     )
     shown = [r.e for r in df.select("i", explain.evidence_text(F.col("d")).alias("e")).orderBy("i").collect()]
     assert shown[0] == shown[1] == fv.NO_DIFFS
-    assert shown[2] == "\n### Diff 1 (Commit: abcdefgh)\n```\nx\n```\n\n### Diff 2 (Commit: b)\n```\ny\n```\n"
+    assert shown[2] == "[change 1, made by abcdefgh]\nx\n[end of change 1]\n[change 2, made by b]\ny\n[end of change 2]\n"
 
 
 def test_synthesis(spark):

@@ -175,6 +175,26 @@ def test_instants_not_strings(spark):
     ]
 
 
+def test_instants_without_offset_are_utc(spark):
+    rows = [("2024-07-01T12:00:00",), ("2024-07-01 12:00:00.5",), ("2024-07-01",), ("2024-07-01T12:00:00Z",)]
+    column = F.unix_millis(times.parse_instant(F.col("t")))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    noon = 1719835200000
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            found = values(spark, rows, "t string", column)
+            assert found == [noon, noon + 500, noon - 12 * 3600 * 1000, noon]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_suffix_before_line_break(spark):
+    assert values(spark, [("a.py",), ("a.py\n",), (None,)], "p string", paths.has_suffix(F.col("p"), [".py", ".js"])) == [
+        True, False, None,
+    ]
+
+
 def test_numbers(spark):
     assert values(spark, [("1.5",), ("x",), ("",)], "t string", times.parse_number(F.col("t"))) == [
         1.5, None, None,
