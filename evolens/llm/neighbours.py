@@ -7,8 +7,9 @@ queries the exact neighbours are found by a scan of the whole table, and visits
 these queries reaches `recall`. A query also goes on until the opened leaves hold more than k vectors, so tables of
 fewer than k candidates are returned whole.
 
-Leaves are searched in blocks of at most about BLOCK vectors and BLOCK queries, so a leaf that holds a third of all
-rows is many tasks; each block gives its k best. Distances are Euclidean, in double precision, on the stored vectors;
+Neighbouring leaves share a bin of at most BLOCK vectors, and a query brings to a bin one row with the list of the leaves
+it opens there. A larger leaf is a bin of its own, searched in blocks of about BLOCK vectors and BLOCK queries, so a leaf
+that holds a third of all rows is many tasks; each block gives its k best. Distances are Euclidean, in double precision, on the stored vectors;
 ties go to the smaller id. Vectors that are null, empty, all zero, or hold a null or non-finite component take no part,
 nor do rows without an id or whose dimension is not the most common one. Repeated rows with one id are separate
 candidates but never neighbours of their own id.
@@ -111,6 +112,17 @@ def fit(vectors: np.ndarray) -> Tree:
     return tree
 
 
+def bins(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bin of each leaf, and into how many blocks each bin is cut."""
+    of, held = np.zeros(len(sizes), dtype=np.int64), []
+    for leaf, n in enumerate(sizes.tolist()):
+        if not held or held[-1] + n > BLOCK:
+            held.append(0)
+        of[leaf] = len(held) - 1
+        held[-1] += n
+    return of, np.maximum(1, -(-np.array(held, dtype=np.int64) // BLOCK))
+
+
 def usable(rows: DataFrame) -> DataFrame:
     """id and vector (array of double) of the rows that take part."""
     rows = rows.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
@@ -218,41 +230,50 @@ def search(
     sizes = np.zeros(tree.leaves, dtype=np.int64)
     for r in filed.groupBy("leaf").count().collect():
         sizes[r["leaf"]] = r["count"]
-    blocks = np.maximum(1, -(-sizes // BLOCK))
+    bin_of, blocks = bins(sizes)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                some = batch.slice(low, 256)
-                out: list[tuple[int, int, int]] = []
+            for low in range(0, batch.num_rows, 64):
+                some = batch.slice(low, 64)
+                out: list[tuple[int, int, int, list[int]]] = []
                 for row, vector in enumerate(_matrix(some.column("vector"))):
+                    opened: dict[int, list[int]] = {}
                     held = seen = 0
                     for leaf in tree.best_first(vector):
-                        out += [(row, leaf, b) for b in range(blocks[leaf])]
+                        opened.setdefault(int(bin_of[leaf]), []).append(leaf)
                         held += sizes[leaf]
                         seen += 1
                         if seen >= visits and held > k:
                             break
-                at, leaf, block = (pa.array(x, pa.int64()) for x in (zip(*out) if out else ((), (), ())))
-                yield pa.RecordBatch.from_arrays([some.column("id").take(at), some.column("vector").take(at), leaf, block], ["query", "target", "leaf", "block"])
-
-    asked_blocks = asked.mapInArrow(walk, "query bigint, target array<double>, leaf bigint, block bigint")
-    # both sides are cut: a popular leaf's queries by hash, its vectors by hash
-    busy = {r["leaf"]: -(-r["n"] // BLOCK) for r in asked_blocks.where("block = 0").groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+                    out += [(row, name, b, leaves) for name, leaves in opened.items() for b in range(blocks[name])]
+                at, name, block, leaves = zip(*out) if out else ((), (), (), ())
+                arrays = [some.column(c).take(pa.array(at, pa.int64())) for c in ("id", "vector")]
+                arrays += [pa.array(name, pa.int64()), pa.array(block, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["query", "target", "bin", "block", "leaves"])
+
+    asked_blocks = materialise(asked.mapInArrow(walk, "query bigint, target array<double>, bin bigint, block bigint, leaves array<bigint>"))
+    # both sides are cut: a popular bin's queries by hash, its vectors by hash
+    busy = {r["bin"]: -(-r["n"] // BLOCK) for r in asked_blocks.where("block = 0").groupBy("bin").agg(F.count("*").alias("n")).collect()}
     known = spark.createDataFrame(
-        [(int(x), int(blocks[x]), int(busy.get(x, 0))) for x in range(tree.leaves)], "leaf bigint, blocks bigint, parts bigint"
+        [(leaf, name, int(blocks[name]), int(busy.get(name, 0))) for leaf, name in enumerate(bin_of.tolist())],
+        "leaf bigint, bin bigint, blocks bigint, parts bigint",
     )
     vectors = filed.join(F.broadcast(known), "leaf").where("parts > 0").withColumn("block", F.pmod(F.xxhash64("id", "vector"), "blocks"))
-    vectors = vectors.select("leaf", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "vector")
+    vectors = vectors.select("bin", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "leaf", "id", "vector")
     part = F.pmod(F.xxhash64("query"), F.col("parts"))
-    wanted = asked_blocks.join(F.broadcast(known.select("leaf", "parts")), "leaf").select("leaf", "block", part.alias("part"), "query", "target")
+    wanted = asked_blocks.join(F.broadcast(known.select("bin", "parts").distinct()), "bin")
+    wanted = wanted.select("bin", "block", part.alias("part"), "query", "target", "leaves")
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query": [], "id": [], "d": []}).astype({"query": "int64", "id": "int64", "d": "float64"})
-        ids, held = left["id"].to_numpy(), np.stack(left["vector"].to_numpy())
-        found = [(q, *_k_best(ids, held, q, v, k)) for q, v in zip(right["query"].to_numpy(), right["target"].to_numpy())]
+        ids, leaf, held = left["id"].to_numpy(), left["leaf"].to_numpy(), np.stack(left["vector"].to_numpy())
+        found = []
+        for q, v, leaves in zip(*(right[c].to_numpy() for c in ("query", "target", "leaves"))):
+            opened = np.flatnonzero(np.isin(leaf, leaves))
+            found.append((q, *_k_best(ids[opened], held[opened], q, v, k)))
         return pd.DataFrame(
             {
                 "query": np.concatenate([np.full(len(i), q) for q, i, _ in found]),
@@ -261,7 +282,7 @@ def search(
             }
         )
 
-    near = vectors.groupBy("leaf", "block", "part").cogroup(wanted.groupBy("leaf", "block", "part")).applyInPandas(nearest, "query bigint, id bigint, d double")
+    near = vectors.groupBy("bin", "block", "part").cogroup(wanted.groupBy("bin", "block", "part")).applyInPandas(nearest, "query bigint, id bigint, d double")
     best = near.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, k).alias("best"))
     ranked = best.select("query", F.posexplode("best").alias("pos", "hit"))
     return ranked.select(

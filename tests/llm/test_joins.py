@@ -160,6 +160,15 @@ def test_neighbours(spark, folder):
     assert neighbours.search(same, 1).count() == 300
 
 
+def test_neighbours_do_not_depend_on_bins(spark, folder, monkeypatch):
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    wide = sorted(map(tuple, neighbours.search(table, 10).collect()))
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    of, blocks = neighbours.bins(np.array([3, 0, 12, 2, 40, 0, 1]))
+    assert of.tolist() == [0, 0, 0, 1, 2, 3, 3] and blocks.tolist() == [1, 1, 3, 1]
+    assert sorted(map(tuple, neighbours.search(table, 10).collect())) == wide
+
+
 def test_pages(spark, folder):
     rows = spark.read.parquet(f"{folder}/pages.parquet").collect()
     got = {r["page_id"]: r for r in queries.op6_main_text_segment(spark, folder).collect()}
