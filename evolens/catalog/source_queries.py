@@ -105,7 +105,7 @@ def head_files(spark, folder):
       FROM commit_log) WHERE rn <= {fv.MAX_COMMITS} AND len(parents) = 1"""
 )
 def commits_normalise(spark, folder):
-    rows = change_log.commits(a.commit_log(spark, folder))
+    rows = change_log.commits(a.commit_log(spark, folder), fv.MAX_COMMITS)
     return rows.select(
         "repo_name",
         "commit_hash",
@@ -136,7 +136,7 @@ _DIFFS = f"""diffs AS (
     + "SELECT repo_name, commit_hash, file_path, md5(diff_text) AS diff_md5 FROM diffs"
 )
 def diffs_normalise(spark, folder):
-    rows = change_log.diffs(a.text_changes(spark, folder))
+    rows = change_log.diffs(a.text_changes(spark, folder), fv.MAX_DIFF_CHARS)
     return rows.select("repo_name", "commit_hash", "file_path", F.md5("diff_text").alias("diff_md5"))
 
 
@@ -167,7 +167,7 @@ def _snapshots(spark, folder):
     log = a.single_parent_commits(spark, folder)
     commits = log.withColumn("message", text.one_line(F.col("message")))
     contents = changes.filter(F.col("change_type") != "D")
-    return change_log.snapshots(changes, commits, change_log.diffs(changes), contents)
+    return change_log.snapshots(changes, commits, change_log.diffs(changes, fv.MAX_DIFF_CHARS), contents)
 
 
 @query(
@@ -400,7 +400,7 @@ def language_route(spark, folder):
     WHERE length(d.diff_text) >= {fv.MIN_DIFF_CHARS}"""
 )
 def diff_documents(spark, folder):
-    diffs = change_log.diffs(a.text_changes(spark, folder))
+    diffs = change_log.diffs(a.text_changes(spark, folder), fv.MAX_DIFF_CHARS)
     log = a.single_parent_commits(spark, folder)
     commits = log.withColumn("message", text.one_line(F.col("message")))
     documents = retrieval.diff_documents(diffs, commits)
@@ -413,7 +413,7 @@ def diff_documents(spark, folder):
       count(*) FILTER (length(diff_text) < {fv.MIN_DIFF_CHARS}) AS skipped_trivial FROM diffs"""
 )
 def trivial_documents(spark, folder):
-    return retrieval.trivial_counts(change_log.diffs(a.text_changes(spark, folder)))
+    return retrieval.trivial_counts(change_log.diffs(a.text_changes(spark, folder), fv.MAX_DIFF_CHARS))
 
 
 @query(

@@ -18,8 +18,9 @@ from evolens.operators.joins import lookup_join
 
 SCOPE = ("repo", "file")
 DIMENSIONS = 384
-# An unscoped search keeps its queries in every task, so their number is bounded.
-MAX_QUERIES = 2_000
+# An unscoped search compares blocks of about so many queries and documents.
+QUERY_BLOCK = 512
+DOCUMENT_BLOCK = 8_192
 
 
 # --- documents --------------------------------------------------------------
@@ -164,57 +165,56 @@ def knn_overfetch(
 
     Takes the ``factor * k`` nearest documents over all scopes by squared distance
     and of these up to ``k`` of the query's own scope, so it may return fewer.
-    Tasks keep their best ``factor * k`` per query and pass only those on.
+    Each block of queries meets each block of documents in one task, which passes on
+    its best ``factor * k`` per query only.
     """
     scope = list(scope)
-    rows = queries.select(*scope, "query").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search within scopes instead")
     fetch = factor * k
     key_types = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
     asked = [f"query_{c}" for c in scope]
+    names = [*asked, *scope, "commit", "distance"]
     schema = ", ".join(
         [f"{a} {key_types[c]}" for a, c in zip(asked, scope)]
         + [f"{c} {key_types[c]}" for c in [*scope, "commit"]]
         + ["distance double"]
     )
-    if not rows:
-        return corpus.sparkSession.createDataFrame([], schema).select(
-            *scope, "commit", "distance", F.lit(0).alias("rank"), F.lit(0.0).alias("similarity")
-        )
-    matrix = np.array([r["query"] for r in rows], dtype=float)
-    labels = pd.DataFrame([[r[c] for c in scope] for r in rows], columns=asked)
-
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame] = [pd.DataFrame()] * len(matrix)
-        worst = np.full(len(matrix), np.inf)
-        for frame in frames:
-            if len(frame) == 0:
-                continue
-            x = np.stack(frame["embedding"].to_numpy()).astype(float)
-            keys = frame[[*scope, "commit"]]
-            # One product gives all distances but for rounding; whatever that leaves
+    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    document_blocks = max(1, -(-corpus.count() // DOCUMENT_BLOCK))
+
+    def dealt(rows: DataFrame, keys: Sequence[str], own: str, n: int, other: str, others: int) -> DataFrame:
+        rows = rows.withColumn(own, F.pmod(F.xxhash64(*keys), F.lit(n)))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    documents = dealt(
+        corpus.select(*scope, "commit", "embedding"), [*scope, "commit", "embedding"],
+        "_documents", document_blocks, "_queries", query_blocks,
+    )
+    wanted = dealt(
+        queries.select(*[F.col(c).alias(a) for a, c in zip(asked, scope)], "query"), [*asked, "query"],
+        "_queries", query_blocks, "_documents", document_blocks,
+    )
+
+    def nearest(held: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
+        if held.empty or questions.empty:
+            return pd.DataFrame()
+        x = np.stack(held["embedding"].to_numpy()).astype(float)
+        keys = held[[*scope, "commit"]]
+        squares = (x**2).sum(axis=1)
+        best = []
+        for i, query in enumerate(questions["query"]):
+            q = np.asarray(query, dtype=float)
+            # The product gives all distances but for rounding; whatever that leaves
             # in reach is measured exactly.
-            squares = (x**2).sum(axis=1)[:, None] + (matrix**2).sum(axis=1)[None, :]
-            rough = squares - 2 * x @ matrix.T
-            slack = 1e-9 * squares.max()
-            for i, q in enumerate(matrix):
-                reach = worst[i]
-                if len(x) > fetch:
-                    reach = min(reach, np.partition(rough[:, i], fetch - 1)[fetch - 1])
-                near = np.flatnonzero(rough[:, i] <= reach + slack)
-                found = keys.iloc[near].assign(distance=((x[near] - q) ** 2).sum(axis=1))
-                both = pd.concat([best[i], found]) if len(best[i]) else found
-                best[i] = both.sort_values(["distance", "commit"]).head(fetch)
-                if len(best[i]) == fetch:
-                    worst[i] = best[i]["distance"].iloc[-1]
-        for i, found in enumerate(best):
-            if len(found):
-                for a in asked:
-                    found = found.assign(**{a: labels[a].iloc[i]})
-                yield found[[*asked, *scope, "commit", "distance"]]
-
-    found = corpus.select(*scope, "commit", "embedding").mapInPandas(nearest, schema)
+            rough = squares + q @ q - 2 * x @ q
+            reach = np.partition(rough, fetch - 1)[fetch - 1] if len(x) > fetch else np.inf
+            near = np.flatnonzero(rough <= reach + 1e-9 * (squares.max() + q @ q))
+            found = keys.iloc[near].assign(distance=((x[near] - q) ** 2).sum(axis=1))
+            found = found.sort_values(["distance", "commit"]).head(fetch)
+            best.append(found.assign(**{a: questions[a].iloc[i] for a in asked}))
+        return pd.concat(best)[names]
+
+    pairs = documents.groupBy("_queries", "_documents").cogroup(wanted.groupBy("_queries", "_documents"))
+    found = pairs.applyInPandas(nearest, schema)
     fetched = _ranked(found, asked, fetch).drop("rank")
     for a, c in zip(asked, scope):
         fetched = fetched.filter(F.col(a).eqNullSafe(F.col(c)))

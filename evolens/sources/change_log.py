@@ -12,14 +12,16 @@ from evolens.operators.selection import top_k_per_group
 from evolens.sources.readers import with_content
 
 
-def commits(log: DataFrame, max_commits: int = fv.MAX_COMMITS) -> DataFrame:
-    """The newest commits of each repository that have exactly one parent.
+def commits(log: DataFrame, max_commits: int | None = None) -> DataFrame:
+    """The commits of each repository that have exactly one parent; if asked, of its newest ``max_commits`` only.
 
     The cap counts merges and roots too: it is applied first.
     """
-    newest = top_k_per_group(
-        log, ["repo_name"], [F.desc("timestamp"), F.asc("commit_hash")], max_commits
-    )
+    newest = log
+    if max_commits is not None:
+        newest = top_k_per_group(
+            log, ["repo_name"], [F.desc("timestamp"), F.asc("commit_hash")], max_commits
+        )
     return newest.filter(F.size("parents") == 1).select(
         "repo_name",
         "commit_hash",
@@ -44,14 +46,15 @@ def explode_changes(log: DataFrame) -> DataFrame:
     return file_changes(raw)
 
 
-def diffs(raw: DataFrame, max_chars: int = fv.MAX_DIFF_CHARS) -> DataFrame:
-    """Diff text of added and modified source files, capped and not blank."""
+def diffs(raw: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Diff text of added and modified source files, not blank; if asked, cut to ``max_chars``."""
     kept = raw.filter(
         F.col("change_type").isin("A", "M")
         & paths.has_suffix(F.col("file_path"), fv.SOURCE_SUFFIXES)
     )
-    capped = kept.withColumn("diff_text", text.cap(F.col("diff_text"), max_chars))
-    return capped.filter(text.non_blank(F.col("diff_text"))).select(
+    if max_chars is not None:
+        kept = kept.withColumn("diff_text", text.cap(F.col("diff_text"), max_chars))
+    return kept.filter(text.non_blank(F.col("diff_text"))).select(
         "repo_name", "commit_hash", "file_path", "diff_text"
     )
 

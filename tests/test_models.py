@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evolens.catalog import adapters as a
 from evolens.functions import fixed_values as fv
 from evolens.operators import clustering, isolation, retrieval, scaling
+from evolens.operators.quantiles import exact_quantiles
 
 DOCS = "repo string, file string, commit long, embedding array<float>"
 QUERIES = "repo string, file string, query array<double>"
@@ -48,6 +49,20 @@ def test_overfetch_does_not_depend_on_partitioning(spark, folder):
     assert rows(corpus) == rows(corpus.repartition(7))
 
 
+def test_overfetch_in_many_blocks(spark, folder, monkeypatch):
+    corpus, queries = a.corpus(spark, folder), a.scope_queries(spark, folder)
+
+    def rows():
+        result = retrieval.knn_overfetch(corpus, queries, 3)
+        return sorted((r.repo, r.file, r.commit, r["rank"]) for r in result.collect())
+
+    plain = rows()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "DOCUMENT_BLOCK", 40)
+    assert rows() == plain
+    assert retrieval.knn_overfetch(corpus, queries.limit(0), 3).count() == 0
+
+
 def test_scoped_search_with_many_queries_is_salted(spark, folder, monkeypatch):
     corpus, queries = a.corpus(spark, folder), a.scope_queries(spark, folder)
     columns = ["repo", "file", "commit", "rank"]
@@ -192,3 +207,14 @@ def test_published_search_path_length():
     assert isolation.average_path(1) == 0 and isolation.average_path(2) == 1
     assert isolation.average_path(256) == pytest.approx(10.2448, abs=1e-3)
     assert fv.TREE_SAMPLE == 256
+
+
+@pytest.mark.parametrize("q", [0.0, 0.01, 0.5, 0.9, 1.0])
+def test_quantiles_at_every_size(spark, q):
+    sizes = [1, 2, 3, 10, 1_500, 9_999, 10_001, 60_000]
+    df = spark.range(max(sizes)).select("id", F.explode(F.array(*map(F.lit, sizes))).alias("size")).where("id < size")
+    df = df.select("size", F.when(F.col("size") == 10, F.col("id") % 2).otherwise(F.col("id") * 3).alias("x"))
+    found = {r["size"]: r["value"] for r in exact_quantiles(df, ["size"], ["x"], q).collect()}
+    for n in sizes:
+        values = [i % 2 if n == 10 else i * 3 for i in range(n)]
+        assert found[n] == pytest.approx(np.quantile(values, q)), n

@@ -79,8 +79,9 @@ def test_diffs(spark):
         ("r", "c", "d.ts", "A", " \n\t"), ("r", "c", "e.jsx", "A", "y"),
     ]
     df = spark.createDataFrame(rows, "repo_name string, commit_hash string, file_path string, change_type string, diff_text string")
-    got = {r.file_path: len(r.diff_text) for r in change_log.diffs(df).collect()}
+    got = {r.file_path: len(r.diff_text) for r in change_log.diffs(df, max_chars=8000).collect()}
     assert got == {"a.py": 8000, "e.jsx": 1}
+    assert {len(r.diff_text) for r in change_log.diffs(df).collect()} == {9000, 1}
 
 
 def test_latest_snapshot_by_instant(spark):
