@@ -1,112 +1,180 @@
 """Cross-entropy difference of a target and a background n-gram model.
 
-Both models count words and pairs of words in the same hashed vocabulary: every word and every pair belongs to a
-bucket, so no word is unknown to one model only. The background counts all documents; the target counts the chosen
-documents. The models are matched: background counts are scaled to the number of words of the target, so that both are
-smoothed by the same amount. A word costs -log p(word | word before), where
-p(w | h) = (n(h, w) + WEIGHT * p(w)) / (n(h) + WEIGHT) and p(w) = (n(w) + 1) / (words + buckets).
+Both models count words and pairs of words by their 64-bit hashes, in tables: the background counts all documents, the
+target all chosen documents. The models are matched: background counts are scaled to the number of words of the target,
+so that both are smoothed by the same amount. A word costs -log p(word | word before), where
+p(w | h) = (n(h, w) + WEIGHT * p(w)) / (n(h) + WEIGHT), n(h) is the number of words after h (0 is the text's start), and
+p(w) = (n(w) + 1) / (words + vocabulary), with one vocabulary for both, so that no word is unknown to one model only.
 A document's score is the mean over its words of background cost minus target cost: higher means more like the target.
 
-Counts are added up inside each task and then by bucket, so what is gathered follows the corpus. The number of buckets
-doubles with the corpus up to MOST_BUCKETS, which bounds the models (32 bytes a bucket). Texts without words score 0;
-without target or background words every score is 0.
+Counts are added up inside each task, then by pair, and grow with the corpus. What a pair adds to a score is worked out
+once for each pair. The pairs that each make up more than a share of 1 / 2**HOT_BITS of all (so at most 2**HOT_BITS of
+them) go to every task and are looked up there; all others are joined by hash, where none is frequent enough to hold up
+a task. Sums are of whole numbers, so that scores depend on no order. Texts without words score 0; without target or
+background words every score is 0.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evolens.llm.words import ALNUM, combine, previous, slices, text_bytes, text_sums, word_hashes
+from evolens.llm.words import ALNUM, combine, previous, slices, text_bytes, word_hashes
+from evolens.operators.joins import lookup_join
 from evolens.session import materialise
 
 WEIGHT = 20.0
-LEAST_BUCKETS = 1 << 16
-MOST_BUCKETS = 1 << 21
-BYTES_PER_BUCKET = 64
+HOT_BITS = 20  # 16 bytes for each hot pair
+HOT_WORDS = 1 << 16  # a word with more than a share of 1 / HOT_WORDS of the different pairs is joined by broadcast
+MOST_BROADCAST = 1_000_000  # ids of target documents
+GATHERED = 1 << 21  # words that a task adds up at once
+UNIT = 2.0**-32  # of what a pair adds to a score
 
 
-def _keys(batch: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of each word, of the word before and of the pair; words per text. Bucket 0 of words is the text's start."""
+@dataclass
+class Models:
+    """What every pair of the counted texts adds to a score (`pair`, `delta` in UNITs), and the counts behind it."""
+
+    ready: bool
+    counted: DataFrame
+    deltas: DataFrame | None = None
+    words: DataFrame | None = None
+    befores: DataFrame | None = None
+    scale: float = 1.0
+    mass: float = 1.0
+    least: int = 0
+    hot: np.ndarray | None = None
+    hot_deltas: np.ndarray | None = None
+
+
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each word, of the word before (0 at the text's start) and of the pair; words per text."""
     words, counts = word_hashes(*text_bytes(batch.column("text")), ALNUM)
     before = previous(words, counts, 1)
-    shift = np.uint64(64 - bits)
-    return (words >> shift).astype(np.int64), (before >> shift).astype(np.int64), (combine(before, words) >> shift).astype(np.int64), counts
+    return words.view(np.int64), before.view(np.int64), combine(before, words).view(np.int64), counts
 
 
-class Models:
-    """Counts of the target and of the background by bucket, background scaled to the target's size."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts: list[tuple[np.ndarray, ...]] = []
 
-    def __init__(self, bits: int, words: np.ndarray, pairs: np.ndarray):
-        self.bits = bits
-        total = words.sum(1)
-        self.ready = bool(total.min() > 0)
-        scale = total[0] / total[1] if self.ready else 1.0
-        words[1] *= scale
-        pairs[1] *= scale
-        self.shares = (words + 1) / (words.sum(1, keepdims=True) + words.shape[1])
-        self.words, self.pairs = words, pairs
+    def added() -> pa.RecordBatch:
+        pair, before, word, wanted = (np.concatenate(x) for x in zip(*parts))
+        pairs, first, place = np.unique(pair, return_index=True, return_inverse=True)
+        n1 = np.bincount(place, minlength=len(pairs))
+        n0 = np.bincount(place[wanted], minlength=len(pairs))
+        parts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs, before[first], word[first], n0, n1)], ["pair", "before", "word", "n0", "n1"])
 
-    def deltas(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        word, before, pair, counts = _keys(batch, self.bits)
-        costs = []
-        for side in (0, 1):
-            mass = self.pairs[side][pair] + WEIGHT * self.shares[side][word]
-            costs.append(np.log(self.words[side][before] + WEIGHT) - np.log(mass))
-        return text_sums(costs[1] - costs[0], counts), counts
+    for batch in slices(batches):
+        word, before, pair, counts = _keys(batch)
+        wanted = np.repeat(np.asarray(batch.column("wanted").to_pylist(), dtype=bool), counts)
+        parts.append((pair, before, word, wanted))
+        if sum(len(p[0]) for p in parts) >= GATHERED:
+            yield added()
+    if parts:
+        yield added()
 
 
-def bucket_bits(docs: DataFrame) -> int:
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return int(math.log2(min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 ** math.ceil(math.log2(size / BYTES_PER_BUCKET + 1))))))
+def _beside(pairs: DataFrame, counts: DataFrame, key: str, most: int) -> DataFrame:
+    """pairs with the counts of `key`, null where it has none; counts of keys with more than `most` pairs are broadcast."""
+    found = pairs.join(F.broadcast(counts.where(F.col(f"{key}_pairs") > most)), key, "left")
+    rest = pairs.join(F.broadcast(counts.where(F.col(f"{key}_pairs") > most).select(key)), key, "left_anti")
+    rest = rest.join(counts.where(F.col(f"{key}_pairs") <= most), key, "left")
+    return found.where(F.col(f"{key}_pairs").isNotNull()).unionByName(rest)
 
 
-def train(docs: DataFrame, target: DataFrame) -> Models:
-    """docs: doc_id and text of the whole corpus; target: doc_id of the target texts, few enough to be broadcast."""
-    bits = bucket_bits(docs)
+def _log_ratio(target: Column, background: Column) -> Column:
+    return F.log(target) - F.log(background)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 2, 1 << bits), dtype=np.int64)  # words or pairs; target or all
-        for batch in slices(batches):
-            word, _, pair, counts = _keys(batch, bits)
-            wanted = np.repeat(np.asarray(batch.column("wanted").to_pylist(), dtype=bool), counts)
-            for kind, keys in enumerate((word, pair)):
-                sums[kind, 0] += np.bincount(keys[wanted], minlength=1 << bits)
-                sums[kind, 1] += np.bincount(keys, minlength=1 << bits)
-        for kind in (0, 1):
-            at = np.flatnonzero(sums[kind, 1])
-            for low in range(0, len(at), 1 << 16):
-                some = at[low : low + (1 << 16)]
-                arrays = [pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(sums[kind, side][some]) for side in (0, 1)], ["kind", "bucket", "n0", "n1"])
-
-    wanted = F.broadcast(target.select("doc_id").distinct().withColumn("wanted", F.lit(True)))
-    marked = docs.select("doc_id", "text").join(wanted, "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    counted = marked.mapInArrow(count, "kind int, bucket int, n0 bigint, n1 bigint")
-    sums = materialise(counted.groupBy("kind", "bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    counts = np.zeros((2, 2, 1 << bits), dtype=np.float32)
-    for kind in (0, 1):
-        rows = sums.where(F.col("kind") == kind).select("bucket", "n0", "n1").toArrow()
-        for side in (0, 1):
-            counts[kind, side, rows.column("bucket").to_numpy()] = rows.column(f"n{side}").to_numpy()
-    return Models(bits, counts[0], counts[1])
+
+def train(docs: DataFrame, target: DataFrame) -> Models:
+    """docs: doc_id and text of the whole corpus; target: doc_id of the target texts."""
+    wanted = materialise(target.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()).withColumn("wanted", F.lit(True))
+    marked = lookup_join(docs.select("doc_id", "text"), wanted, ["doc_id"], "left", max_rows=MOST_BROADCAST)
+    marked = marked.select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    found = marked.mapInArrow(_count, "pair bigint, before bigint, word bigint, n0 bigint, n1 bigint").groupBy("pair")
+    pairs = materialise(found.agg(*(F.first(c).alias(c) for c in ("before", "word")), *(F.sum(c).alias(c) for c in ("n0", "n1"))))
+    sums = {k: [F.sum(c).alias(f"{k}_{c}") for c in ("n0", "n1")] + [F.count("*").alias(f"{k}_pairs")] for k in ("word", "before")}
+    words, befores = (materialise(pairs.groupBy(k).agg(*sums[k])) for k in ("word", "before"))
+    n0, n1, different, vocabulary = words.agg(F.sum("word_n0"), F.sum("word_n1"), F.sum("word_pairs"), F.count("*")).first()
+    if not n0 or not n1:
+        return Models(False, docs)
+    models = Models(True, docs, None, words, befores, n0 / n1, float(n0 + vocabulary), n1 >> HOT_BITS)
+    every = _beside(_beside(pairs, words, "word", different // HOT_WORDS), befores, "before", different // HOT_WORDS)
+    models.deltas = materialise(every.select("pair", "n1", _delta(models).alias("delta")))
+    hot = models.deltas.where(F.col("n1") > models.least).select("pair", "delta").toArrow()
+    keys, values = (hot.column(c).to_numpy() for c in ("pair", "delta"))
+    order = np.argsort(keys)
+    models.hot, models.hot_deltas = keys[order], values[order]
+    return models
+
+
+def _delta(models: Models) -> Column:
+    """What a pair adds to the sum, in UNITs, from the counts of pair, word and word before; those not known are 0."""
+    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n0", "n1", "word_n0", "word_n1", "before_n0", "before_n1")}
+    share = {0: (n["word_n0"] + 1) / models.mass, 1: (n["word_n1"] * models.scale + 1) / models.mass}
+    pair = _log_ratio(n["n0"] + WEIGHT * share[0], n["n1"] * models.scale + WEIGHT * share[1])
+    before = _log_ratio(n["before_n0"] + WEIGHT, n["before_n1"] * models.scale + WEIGHT)
+    return F.round((pair - before) / UNIT).cast("bigint")
+
+
+def _is_hot(models: Models, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are hot, and what they add; 0 for the others."""
+    if not len(models.hot):
+        return np.zeros(len(pair), dtype=bool), np.zeros(len(pair), dtype=np.int64)
+    at = np.searchsorted(models.hot, pair)
+    at[at == len(models.hot)] = 0
+    known = models.hot[at] == pair
+    return known, np.where(known, models.hot_deltas[at], 0)
+
+
+def _long_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    sums = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    ends = np.cumsum(counts)
+    return sums[ends] - sums[ends - counts]
 
 
 def cross_entropy_difference(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_words and score of every row; repeated rows are scored each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    lean = Models(models.ready, None, hot=models.hot if models.ready else np.empty(0, np.int64), hot_deltas=models.hot_deltas)
+    shared = docs.sparkSession.sparkContext.broadcast(lean)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+    def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sums, counts = models.deltas(batch)
-            score = sums / np.maximum(counts, 1) if models.ready else np.zeros(len(counts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(score)], ["doc_id", "n_words", "score"])
+            _, _, pair, counts = _keys(batch)
+            known, deltas = _is_hot(shared.value, pair)
+            cold = counts - _long_sums(known, counts)
+            arrays = [batch.column("doc_id"), batch.column("key"), *(pa.array(x) for x in (counts, cold, _long_sums(deltas, counts)))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n_words", "cold", "sum"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words bigint, score double")
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            word, before, pair, counts = _keys(batch)
+            cold = ~_is_hot(shared.value, pair)[0]
+            key = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(x[cold]) for x in (key, pair, before, word)], ["key", "pair", "before", "word"])
+
+    # texts that are equal have one key and are added up together; what is found is theirs in equal parts
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    rows = keyed.mapInArrow(by_row, f"doc_id {kind}, key bigint, n_words bigint, cold bigint, sum bigint")
+    if not models.ready:
+        return rows.select("doc_id", "n_words", F.lit(0.0).alias("score"))
+    rows = materialise(rows)
+    cold = keyed.select("text", "key").mapInArrow(others, "key bigint, pair bigint, before bigint, word bigint")
+    deltas = models.deltas.where(F.col("n1") <= models.least).select("pair", "delta")
+    added = cold.select("key", "pair").join(deltas, "pair").select("key", "delta")
+    if models.counted is not docs:  # else every pair was counted
+        rest = cold.join(deltas, "pair", "left_anti").withColumns({"n0": F.lit(0), "n1": F.lit(0)})
+        rest = lookup_join(lookup_join(rest, models.words, ["word"], "left"), models.befores, ["before"], "left")
+        added = added.unionByName(rest.select("key", _delta(models).alias("delta")))
+    added = added.groupBy("key").agg(F.sum("delta").alias("_sum"), F.count("*").alias("_cold"))
+    more = rows.where("cold > 0").join(added, "key", "left").withColumn("_more", F.col("_sum") / (F.col("_cold") / F.col("cold")))
+    whole = more.unionByName(rows.where("cold = 0").withColumn("_more", F.lit(0.0)), allowMissingColumns=True)
+    score = (F.col("sum") + F.col("_more")) * UNIT / F.greatest("n_words", F.lit(1))
+    return whole.select("doc_id", "n_words", score.alias("score"))

@@ -120,3 +120,50 @@ def test_lm_scores(spark, odd):
     assert scores[1] == scores[2] == 0
     nothing = lm_scoring.train(texts, texts.limit(0).select("doc_id"))
     assert {r["score"] for r in lm_scoring.cross_entropy_difference(texts, nothing).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("bits", [lm_scoring.HOT_BITS, 3])
+def test_lm_scores_count_every_pair(spark, monkeypatch, bits):
+    monkeypatch.setattr(lm_scoring, "HOT_BITS", bits)  # few bits: pairs are joined, not looked up
+    draw = np.random.RandomState(5)
+    texts = [" ".join(f"w{x}" for x in draw.zipf(1.3, 40) % 3000) for _ in range(120)]
+    texts = [*texts, texts[0], "", None]
+    good = set(range(0, len(texts), 3))
+    counts = [{}, {}]
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        for h, w in zip(["", *words], words):
+            for side in [0, 1] if i in good else [1]:
+                counts[side][h, w] = counts[side].get((h, w), 0) + 1
+    totals = [sum(c.values()) for c in counts]
+    vocabulary = len({w for _, w in counts[1]})
+
+    def plain(text):
+        words, found = (text or "").split(), 0.0
+        for h, w in zip(["", *words], words):
+            for side, sign in ((0, 1), (1, -1)):
+                scale = totals[0] / totals[side]
+                n = {k: scale * sum(v for p, v in counts[side].items() if p[k] == x) for k, x in ((0, h), (1, w))}
+                share = (n[1] + 1) / (totals[0] + vocabulary)
+                pair = scale * counts[side].get((h, w), 0)
+                found += sign * np.log((pair + lm_scoring.WEIGHT * share) / (n[0] + lm_scoring.WEIGHT))
+        return found / max(1, len(words))
+
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    models = lm_scoring.train(table, table.where("doc_id % 3 = 0"))
+    found = {r["doc_id"]: (r["n_words"], r["score"]) for r in lm_scoring.cross_entropy_difference(table, models).collect()}
+    assert len(found) == len(texts)
+    for i, text in enumerate(texts):
+        assert found[i][0] == len((text or "").split()) and found[i][1] == pytest.approx(plain(text), abs=1e-6)
+    new = spark.createDataFrame([(1, "w1 unseen w1 w2 w2 w1 other")], "doc_id bigint, text string")
+    assert lm_scoring.cross_entropy_difference(new, models).first()["score"] == pytest.approx(plain("w1 unseen w1 w2 w2 w1 other"), abs=1e-6)
+
+
+def test_lm_target_is_not_sampled(spark, folder, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm_scoring, "train", lambda docs, target: seen.append(target.count()))
+    monkeypatch.setattr(lm_scoring, "cross_entropy_difference", lambda docs, models: docs)
+    spark.range(50_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(1).selectExpr("id as doc_id", "'x' as text").write.parquet(f"{tmp_path}/documents.parquet")
+    queries.op1_cross_entropy_difference(spark, str(tmp_path))
+    assert seen == [50_000]
