@@ -167,3 +167,33 @@ def test_lm_target_is_not_sampled(spark, folder, tmp_path, monkeypatch):
     spark.range(1).selectExpr("id as doc_id", "'x' as text").write.parquet(f"{tmp_path}/documents.parquet")
     queries.op1_cross_entropy_difference(spark, str(tmp_path))
     assert seen == [50_000]
+
+
+def test_toxicity_is_kneser_ney(spark):
+    toxic = ["you scum go now", "you scum go", "old scum ran"]  # three predecessors of `scum` were too few to count
+    ordinary = ["you cats go now", "you cats go", "old dogs ran"]
+    texts = spark.createDataFrame(list(enumerate(toxic + ordinary)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(6)], "doc_id bigint, toxic int")
+    model = toxicity.train(texts, labels)
+
+    def likelihoods(before, words):
+        text = " ".join(f"{before} {w}" if before else w for w in words).encode()
+        found = model.likelihoods(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        return found[1::2] if before else found
+
+    known = sorted({w for t in toxic + ordinary for w in t.split()})
+    for before in ("you", "scum", "cats"):
+        assert (likelihoods(before, known).sum(0) < 1).all()
+        assert np.allclose(likelihoods(before, [*known, "unknown"]).sum(0), 1, atol=1e-5)  # a model is a distribution
+    after = likelihoods("you", ["scum", "cats"])
+    assert after[0, 1] > 5 * after[0, 0] and after[1, 0] > 5 * after[1, 1]
+    # toxic pairs: 4 seen once (start old, old scum, scum ran, go now), 3 twice (start you, you scum, scum go)
+    assert model.pairs(word_pair("you", "scum"))[0].tolist() == pytest.approx([0, (2 - 4 / (4 + 2 * 3)) / 2])
+
+
+def word_pair(before, word):
+    from evolens.llm.words import combine
+
+    text = f"{before} {word}".encode()
+    words, _ = word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]), ALNUM)
+    return combine(words[:1], words[1:])
