@@ -342,11 +342,8 @@ def _sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids.hint("shuffle_hash")
 
 
-def similarity_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; docs: doc_id, text, other columns play no part.
-
-    component_id is the smallest doc_id that can be reached by links, the row's own included.
-    """
+def _linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and class of every row; component of every class that is not empty."""
     named = materialise(_classes(docs, words))
     heavy = _heavy_tokens(docs, words, percent)
     postings = materialise(_postings(docs, words, percent, heavy))
@@ -358,9 +355,14 @@ def similarity_components(docs: DataFrame, words: int = 3, percent: int = 90) ->
     counted = shared.groupBy("class").agg(F.count("*").alias("_shared"), least.alias("_least"))
     shared = materialise(shared.join(_sized(counted.where("_shared >= _least").select("class")), "class", "left_semi"))
     owners = named.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("_owner"))
-    owners = _sized(owners.join(shared.select("class").distinct(), "class", "left_semi").select("_owner"))
-    texts = docs.select("doc_id", "text").join(owners, F.col("doc_id") == F.col("_owner"), "left_semi")
-    sets = materialise(_sets(texts, words))  # an id that occurs twice may bring a set that no join asks for
+    owners = materialise(owners.join(shared.select("class").distinct(), "class", "left_semi"))
+    owned = _sized(owners.where(F.col("_owner").isNotNull()).select("_owner"))
+    texts = docs.select("doc_id", "text").join(owned, F.col("doc_id") == F.col("_owner"), "left_semi")
+    # a class whose rows have no id at all is loaded by its name
+    nameless = _sets(docs.where(F.col("doc_id").isNull()).select("doc_id", "text"), words)
+    nameless = nameless.join(_sized(owners.where(F.col("_owner").isNull()).select("class")), "class", "left_semi").dropDuplicates(["class"])
+    sets = _sets(texts, words)  # an id that occurs twice may bring a set that no join asks for
+    sets = materialise(sets.unionByName(nameless))
     links, found, most = None, None, 0
     for order in range(1, ROUNDS + 1):
         new = materialise(_round(shared, sets, found, order, percent))
@@ -376,23 +378,60 @@ def similarity_components(docs: DataFrame, words: int = 3, percent: int = 90) ->
     if not new.isEmpty():
         links = new if links is None else links.unionByName(new)
         found = materialise(components(links))
-    tied = _with_component(named.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("_least")), found)
+    return named, _with_component(named.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("_least")), found)
+
+
+def similarity_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; docs: doc_id, text, other columns play no part.
+
+    component_id is the smallest doc_id that can be reached by links, the row's own included.
+    """
+    named, tied = _linked_classes(docs, words, percent)
     least = tied.groupBy("component").agg(F.min("_least").alias("component_id"))
     tied = tied.select("class", "component").join(least, "component").select("class", "component_id")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return named.join(tied, "class", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
+def _with_class(docs: DataFrame, words: int, name: str) -> DataFrame:
+    """docs with the class of each row, null for an empty set."""
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns) + f", `{name}` bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            classes = pa.array([class_of(s) if len(s) else None for s in shingle_sets(batch, words)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, classes], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
+
+
 def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component: that of the smallest doc_id. Rows without an id stay as they are."""
-    named = docs.where(F.col("doc_id").isNotNull())
-    found = similarity_components(named, words, percent)
-    later = _sized(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_later")).distinct())
-    kept = named.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
-    repeated = named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated"))
-    repeated = _sized(repeated)
-    twice = kept.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_semi")
-    once = kept.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_anti")
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    twice = twice.withColumn("_text_key", text).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
-    return once.unionByName(twice).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each component: that of the smallest (doc_id, class), rows without an id last.
+
+    Rows are told apart by id and class, so another text of the same id is decided on its own. Of rows alike in both,
+    one stays. Texts without words are linked with nothing: those with an id stay once for each id and text, others all.
+    """
+    named, tied = _linked_classes(docs, words, percent)
+    rows = named.where("n_shingles > 0").groupBy("doc_id", "class").agg(F.count("*").alias("_n"))
+    rows = materialise(rows.join(tied.select("class", "component"), "class"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("_first")
+    rows = rows.join(rows.groupBy("component").agg(first), "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("class") == F.col("_first.class"))
+    rows = materialise(rows.select(F.col("doc_id").alias("_id"), F.col("class").alias("_class"), (F.col("_n") > 1).alias("_twice"), stays.alias("_stays")))
+    mark = "_" * (1 + max(len(c) for c in docs.columns)) + "class"
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_class"))
+    classed = _with_class(docs, words, mark)
+    worded = classed.where(F.col(mark).isNotNull())
+    kept = worded.join(_sized(rows.where("not _stays").select("_id", "_class")), same, "left_anti")
+    twice = _sized(rows.where("_stays and _twice").select("_id", "_class"))
+    once = kept.join(twice, same, "left_anti").select(*docs.columns)
+
+    def one_of(rows: DataFrame, *key: str) -> DataFrame:
+        row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
+        return rows.groupBy(*key).agg(row).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+
+    empty = docs.join(_sized(named.where("n_shingles = 0 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    empty = _with_class(empty, words, mark).where(F.col(mark).isNull()).withColumn(mark + "_text", F.coalesce("text", F.lit("")))
+    nameless = _with_class(docs.where(F.col("doc_id").isNull()), words, mark).where(F.col(mark).isNull()).select(*docs.columns)
+    several = one_of(kept.join(twice, same, "left_semi"), "doc_id", mark)
+    return once.unionByName(several).unionByName(one_of(empty, "doc_id", mark + "_text")).unionByName(nameless)

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,26 @@ def test_pipeline(spark, folder, docs):
     left = decontamination.contamination(docs.where(F.col("doc_id").isin(list(ids))), items)
     assert left.where("contaminated").count() == 0
     assert all(hashlib.sha256(r["ids"]).hexdigest() == r["ids_sha256"] for r in found)
+
+
+def test_other_texts_of_an_id_stay(spark):
+    x, y, z = ([f"{k}{i}" for i in range(30)] for k in "xyz")
+    near = " ".join(["changed", *z[1:]])
+    rows = [
+        (3, " ".join(x)), (7, " ".join(x)), (7, " ".join(y)),  # the other text of 7 is its own
+        (13, " ".join(x[::-1])), (13, " ".join(z)), (12, near), (15, " ".join(x[::-1])),  # 13 goes for 12, but stands for 15
+        (None, "one two three four five six"), (None, "one two three four five six"), (None, " ".join(x)), (None, ""), (None, None), (20, ""), (20, ""),
+    ]
+    kept = jaccard_join.keep_one_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = [rows[i] for i in (0, 2, 3, 5, 7, 10, 11, 12)]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_texts_without_ids_link(spark):
+    middle = [f"w{i}" for i in range(200)]
+    left, right = ["l"] * 1 + middle[1:], middle[:-1] + ["r"]
+    percent = 98  # left and right differ by two shingles on either side, each by one from the text without an id
+    rows = [(1, " ".join(left)), (None, " ".join(middle)), (2, " ".join(right))]
+    assert not jaccard_join.linked(*(jaccard_join.shingle_sets(pa.record_batch({"text": [rows[i][1]]}), 1)[0] for i in (0, 2)), percent + 1)
+    found = jaccard_join.similarity_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 1, percent + 1)
+    assert {r["component_id"] for r in found.collect()} == {1}
