@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evolens.llm import bpe, decontamination, html_text, jaccard_join, language, lm_scoring, neighbours, pii, secrets, toxicity
+from evolens.llm import bpe, centroids, decontamination, html_text, jaccard_join, language, lm_scoring, neighbours, pii, secrets, toxicity
 from evolens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,30 @@ def op9_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
 def op10_bpe_rank_array(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.encode_decode(table(spark, folder, "documents"), path, outputs=())
+
+
+@query
+def op12_centroids_equal_average(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.cluster(table(spark, folder, "embeddings"))
+    digest = F.sha2("centroid", 256).alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
+ORACLES["op12_centroids_equal_average"] = """
+    WITH whole AS (SELECT vec_id, [floor(64 * x::DOUBLE)::HUGEINT FOR x IN embedding] AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster, v AS c FROM whole
+        QUALIFY cluster < 16),
+    """ + "".join(f"""
+    n{i} AS (SELECT vec_id, v, min((list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v, c)]), cluster)) AS best
+        FROM (SELECT row_number() OVER () AS row, * FROM whole) CROSS JOIN c{i} GROUP BY row, vec_id, v),
+    """ + (f"""m{i} AS (SELECT cluster, list(mean ORDER BY place) AS c FROM (
+        SELECT best[2] AS cluster, place, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*))::HUGEINT // count(*) AS mean
+        FROM (SELECT best, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM n{i}) GROUP BY ALL) GROUP BY cluster),
+    c{i + 1} AS (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster)),
+    """ if i < 3 else "") for i in range(4)) + """
+    texts AS (SELECT cluster, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM c3)
+    SELECT vec_id, cluster::INT AS cluster, best[1]::BIGINT AS distance,
+        (sum(best[1]) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(best[1]) OVER ())::BIGINT AS inertia, centroid_sha256
+    FROM n3 JOIN texts ON best[2] = cluster
+"""
