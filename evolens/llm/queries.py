@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evolens.llm import bpe, centroids, decontamination, html_text, jaccard_join, language, lm_scoring, neighbours, pii, secrets, toxicity
+from evolens.llm import bpe, centroids, conversations, decontamination, html_text, jaccard_join, language, lm_scoring, neighbours, pii, secrets, toxicity
 from evolens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ ORACLES["op12_centroids_equal_average"] = """
         (sum(best[1]) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(best[1]) OVER ())::BIGINT AS inertia, centroid_sha256
     FROM n3 JOIN texts ON best[2] = cluster
 """
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, folder, "conversations")))
