@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evolens.llm import bpe, centroids, conversations, decontamination, html_text, jaccard_join, language, lm_scoring, neighbours, pii, secrets, toxicity
+from evolens.llm import bpe, centroids, conversations, decontamination, html_text, jaccard_join, language, lm_scoring, neighbours, pii, quality, secrets, toxicity
 from evolens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,15 @@ def op10_bpe_rank_array(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(table(spark, folder, "documents"), path, outputs=())
 
 
+@query
+def op11_quality_subword_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    remainder = language.id_remainder(F.col("doc_id"), 5)
+    model = quality.train(docs, labels.where(remainder != 0))
+    held_out = F.coalesce(remainder == 0, F.lit(False)).alias("held_out")
+    return quality.scores(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op12_centroids_equal_average(spark: SparkSession, folder: str) -> DataFrame:
     found = centroids.cluster(table(spark, folder, "embeddings"))
