@@ -130,3 +130,59 @@ ORACLES["op12_centroids_equal_average"] = """
 @query
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, folder, "conversations")))
+
+
+# Viterbi's recursion over the rows in place of interval parsing; crc32 byte by byte from its table.
+ORACLES["op13_conversation_repair"] = r"""
+    WITH RECURSIVE crc AS (SELECT [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS entries),
+    named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+    hit AS (SELECT named.*, xor(list_reduce([4294967295] || [ascii(x)::BIGINT FOR x IN string_split(name, '')],
+            lambda c, b: xor(entries[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS hit FROM named, crc),
+    damaged AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+            CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(CASE WHEN hit = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hit WHERE hit > 0),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+            rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS trimmed FROM damaged),
+    judged AS (SELECT *, left(role, 1) AS initial, CASE WHEN trimmed = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+            WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'okay' END AS fault,
+            left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM numbered),
+    step(p, initial, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+    added(p, q, cost, audit) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'),
+            (1, 2, 5, 'I'), (2, 3, 5, 'I'), (3, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 3, 10, 'II')),
+    edit AS (SELECT conv_id, i, q AS p, q, 2 AS cost, 'D' AS audit FROM judged, (SELECT DISTINCT q FROM added)
+        UNION ALL SELECT conv_id, i, p, q, 5 * (fault = 'truncated')::INT, 'K' FROM judged JOIN step USING (initial)
+            WHERE fault NOT IN ('blank', 'duplicate')
+        UNION ALL SELECT conv_id, i, p, q, 1 + 5 * (fault = 'truncated')::INT, 'R' FROM judged, step
+            WHERE step.initial <> 's' AND fault NOT IN ('blank', 'duplicate')),
+    whole_edit AS (SELECT conv_id, i, edit.p, added.q, min((edit.cost + added.cost, edit.audit || added.audit)) AS best
+        FROM edit JOIN added ON edit.q = added.p GROUP BY ALL),
+    ids AS (SELECT DISTINCT conv_id FROM conversations),
+    path AS (SELECT conv_id, 0::BIGINT AS i, q, (cost, audit) AS best FROM ids, added WHERE p = 0
+        UNION ALL SELECT path.conv_id, w.i, w.q, min((path.best[1] + w.best[1], path.best[2] || w.best[2]))
+        FROM path JOIN whole_edit w ON w.conv_id IS NOT DISTINCT FROM path.conv_id AND w.i = path.i + 1 AND w.p = path.q GROUP BY ALL),
+    counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+            count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+            count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM judged GROUP BY conv_id),
+    base AS (SELECT ids.conv_id, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+            coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+        FROM ids LEFT JOIN counts ON ids.conv_id IS NOT DISTINCT FROM counts.conv_id),
+    solved AS (SELECT base.*, (SELECT min(best) FROM path WHERE path.conv_id IS NOT DISTINCT FROM base.conv_id AND path.i = base.n
+            AND q IN (0, 3)) AS best FROM base),
+    letters AS (SELECT conv_id, best[2] AS audit, unnest(string_split(best[2], '')) AS letter,
+            generate_subscripts(string_split(best[2], ''), 1) AS k FROM solved WHERE best[2] <> ''),
+    edited AS (SELECT conv_id, letter, k, sum((letter <> 'I')::INT) OVER w AS i,
+            sum((letter <> 'D')::INT) OVER w + length(replace(audit, 'D', '')) % 2 AS place FROM letters
+        WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+    repaired AS (SELECT edited.conv_id, string_agg(CASE letter WHEN 'K' THEN role || ':' || text
+            ELSE (CASE WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || CASE letter WHEN 'R' THEN text ELSE '' END END,
+            chr(10) ORDER BY k) AS text
+        FROM edited LEFT JOIN judged ON edited.conv_id IS NOT DISTINCT FROM judged.conv_id AND edited.i = judged.i
+        WHERE letter <> 'D' GROUP BY edited.conv_id)
+    SELECT solved.conv_id, gaps, blank, duplicate, truncated, illegal, best[1]::BIGINT AS cost, best[2] AS audit,
+        sha256(coalesce(repaired.text, '')) AS repaired_sha256
+    FROM solved LEFT JOIN repaired ON solved.conv_id IS NOT DISTINCT FROM repaired.conv_id
+"""
