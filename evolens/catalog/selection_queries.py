@@ -421,6 +421,18 @@ def percentile_rank(spark, folder):
     return ranked.select("repo_name", "file_path", "percentile", "top_percent")
 
 
+@query(
+    """WITH counts AS (SELECT l_extendedprice * (1 - l_discount) AS price, count(*) AS n FROM lineitem GROUP BY ALL),
+    places AS (SELECT price, sum(n) OVER (ORDER BY price) AS upto, n, sum(n) OVER () AS total FROM counts)
+    SELECT l_orderkey, l_linenumber, CAST(floor((upto - n + upto + 1) * (CAST(50 AS DOUBLE) / total)) AS INTEGER) AS percentile
+    FROM lineitem JOIN places ON price = l_extendedprice * (1 - l_discount)"""
+)
+def percentile_rank_unrounded(spark, folder):
+    """Nearly as many different scores as rows."""
+    lines = a.table(spark, folder, "lineitem").withColumn("price", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return quantiles.with_percentile_rank(lines, "price").select("l_orderkey", "l_linenumber", "percentile")
+
+
 CONTEXT = [
     *FLAT,
     _MEDIANS,

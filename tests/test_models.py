@@ -79,7 +79,7 @@ def test_scoped_search_with_many_queries_is_salted(spark, folder, monkeypatch):
 @pytest.mark.parametrize(
     "named, expected",
     [
-        ([], [(1, 1, 0.5), (2, 2, round(1 / 6, 6)), (3, 3, round(1 / 7, 6))]),
+        ([], [(1, 1, 0.5), (2, 2, round(1 / 26, 6)), (3, 3, round(1 / 37, 6))]),
         ([3, 2], [(2, 1, 1.0), (3, 2, 1.0)]),
         ([9], []),
         ([1, 2, 3, 4, 7], [(1, 1, 0.5), (2, 2, round(1 / 6, 6)), (3, 3, round(1 / 7, 6))]),
@@ -152,6 +152,47 @@ def test_silhouette_against_brute_force(spark, measure):
         assert got[c] == pytest.approx(np.mean([s for s, k in zip(scores, labels) if k == c]))
 
 
+@pytest.mark.parametrize("rows, grid", [(9_000, clustering.GRID_ROWS), (600, 100)])
+def test_plain_silhouette_in_many_blocks(spark, monkeypatch, rows, grid):
+    monkeypatch.setattr(clustering, "GRID_ROWS", grid)
+    monkeypatch.setattr(clustering, "CHUNK", 3)
+    rng = np.random.default_rng(8)
+    x, labels = rng.normal(size=(rows, 2)), rng.integers(0, 7, size=rows)
+    x[:, 0] += labels
+    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1)[None], 0))
+    np.fill_diagonal(d, 0)
+    sums = d @ np.eye(7)[labels]
+    n = np.bincount(labels, minlength=7)
+    own = sums[np.arange(rows), labels] / (n[labels] - 1)
+    means = sums / n
+    means[np.arange(rows), labels] = np.inf
+    scores = (means.min(1) - own) / np.maximum(means.min(1), own)
+    df = spark.createDataFrame([(f"label{c}", v.tolist()) for c, v in zip(labels, x)] + [(None, [0.0, 0.0])], "c string, v array<double>")
+    got = {r.c: (r["rows"], r.silhouette) for r in clustering.silhouette(df, "v", "c").collect()}
+    assert {c: r[0] for c, r in got.items()} == {f"label{c}": n[c] for c in range(7)}
+    for c in range(7):
+        assert got[f"label{c}"][1] == pytest.approx(scores[labels == c].mean(), abs=1e-6)
+    assert clustering.silhouette(df.limit(0), "v", "c").count() == 0
+
+
+def test_more_clusters_than_one_row_holds(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(c), [float(c), float(rng.normal(scale=0.01))]) for c in range(300) for _ in range(2)]
+    df = spark.createDataFrame(rows, "c int, v array<double>")
+    for measure in ("euclidean", "squared"):
+        got = clustering.silhouette(df, "v", "c", measure).collect()
+        assert len(got) == 300 and all(r.silhouette > 0.9 for r in got)
+
+
+def test_models_that_never_rest_are_reported(spark, monkeypatch):
+    points, _ = blobs(spark)
+    with pytest.warns(UserWarning, match="still moved after 1 passes"):
+        clustering.fit_models(points, ["id"], "scaled", [3], 2, 1, max_iter=1)
+    best = clustering.fit_models(points, ["id"], "scaled", [4], 2, 1)[4]
+    monkeypatch.setattr(clustering, "PARTS_ADDED_HERE", 0)
+    assert np.allclose(clustering.fit_models(points.repartition(3), ["id"], "scaled", [4], 2, 1)[4], best)
+
+
 def test_outlier_scores_highest(spark):
     points, _ = blobs(spark, far=[40.0, -40.0, 40.0])
     scored = isolation.anomaly_scores(points, ["id"]).collect()

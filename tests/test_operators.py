@@ -73,6 +73,15 @@ def test_percentile_ties(spark):
     assert rows(ranked, "percentile", "top_percent") == [(25, 75), (62, 38), (62, 38), (100, 0)]
 
 
+def test_percentiles_of_many_unrounded_scores(spark):
+    n = 30_000
+    df = spark.range(n, numPartitions=6).select((F.pmod(F.col("id") * 7919, F.lit(n)) / 1e9).alias("s"))
+    got = {r.s: r.percentile for r in quantiles.percentile_ranks(df, "s").collect()}
+    assert len(got) == n
+    assert all(got[i / 1e9] == pytest.approx((2 * i + 2) * 50 / n) for i in range(n))
+    assert quantiles.percentile_ranks(df, "s", digits=5).count() == 4
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 10, 257, 30_000])
 @pytest.mark.parametrize("q", [0.1, 0.5, 0.9])
 def test_exact_quantiles(spark, n, q):
