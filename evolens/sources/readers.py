@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evolens.functions import fixed_values as fv
 from evolens.functions import paths
+from evolens.sources import split_csv
 
 # Blank cells read as null and quoted empty cells as empty text.
 CSV_READ_OPTIONS = {
@@ -25,8 +26,8 @@ CSV_READ_OPTIONS = {
 def read_csv(
     spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """CSV with a header, quoted line breaks and doubled quotes; bad bytes are replaced."""
-    df = spark.read.schema(schema).options(**CSV_READ_OPTIONS).csv(path)
+    """CSV with a header, quoted line breaks and doubled quotes; bad bytes are replaced. Files are read in many tasks."""
+    df = split_csv.parse(split_csv.records(spark, path), schema, CSV_READ_OPTIONS)
     return df if columns is None else df.select(*columns)
 
 

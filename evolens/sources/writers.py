@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Files of multi-line CSV cannot be split when read, so they are kept small.
-ROWS_PER_FILE = 500_000
-
 CSV_WRITE_OPTIONS = {
     "header": "true",
     "quote": '"',
@@ -24,9 +21,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> bool:
     """Write CSV with a header. Writes nothing, and says so, when there are no rows."""
     if df.isEmpty():
         return False
-    df.write.mode(mode).options(**CSV_WRITE_OPTIONS).option(
-        "maxRecordsPerFile", ROWS_PER_FILE
-    ).csv(path)
+    df.write.mode(mode).options(**CSV_WRITE_OPTIONS).csv(path)
     return True
 
 

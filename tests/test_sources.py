@@ -1,11 +1,13 @@
 """Readers, writers, the change log and incremental appends."""
 
 import datetime
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from evolens import schemas
-from evolens.sources import change_log, readers, writers
+from evolens.sources import change_log, readers, split_csv, writers
 from evolens.streaming.ingest import append_available, new_files
 
 
@@ -27,6 +29,34 @@ def test_csv_written_by_others(spark, tmp_path):
     assert got == [(1, 'say "hi"\n there'), (2, "bad � byte")]
 
 
+@pytest.mark.parametrize("size", [45, 250, 1 << 20])
+def test_csv_in_many_tasks(spark, tmp_path, size):
+    draw = random.Random(size)
+    cells = ["plain", "", None, 'say "hi"', "two\nlines", "a,b", "\n\n", "é\r\nx", '"', "x" * 60 + "\n" + "y" * 60, "  s "]
+    rows = [(i, draw.choice(cells), draw.choice(cells)) for i in range(120)]
+    (tmp_path / "t").mkdir()
+    for name, some in (("a", rows[:90]), ("b", rows[90:])):
+        with open(tmp_path / "t" / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            f.write("\n" if name == "b" else "")
+            f.write('id,"t\nt",u\n' if name == "a" else "id,t,u\r\n")
+            for i, *texts in some:
+                end = draw.choice(["\n", "\r\n", "\n\n"])
+                f.write(",".join([str(i), *("" if x is None else '"' + x.replace('"', '""') + '"' for x in texts)]) + end)
+    schema = "id int, t string, u string"
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        lines = split_csv._lines(spark, str(tmp_path / "t"))
+        assert size > 5_000 or lines.select("_file", "_start").distinct().count() > 10
+        got = sorted(map(tuple, readers.read_csv(spark, str(tmp_path / "t"), schema).collect()))
+        assert readers.read_csv(spark, str(tmp_path / "t"), schema, ["u"]).columns == ["u"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == rows
+
+
 def test_json_array_and_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id": 1},\n {"id": 2, "x": 1}]')
     rows = readers.read_json(spark, str(tmp_path / "a.json"), "id int", single_array=True)
