@@ -14,7 +14,7 @@ from evolens.functions import text
 from evolens.functions.labels import add_rule_labels
 from evolens.operators import retrieval, summary
 from evolens.plans import explain
-from evolens.session import spread
+from evolens.session import scratch_path, spread
 
 _TOKENS = [a.EXPLANATIONS, a.WORDS]
 
@@ -207,7 +207,7 @@ _TOP_EXPLAINED = f"""top_explained AS (
 
 
 @query(
-    a.with_sql(a.EXPLANATIONS, _SIGNAL, _TOP_EXPLAINED, _components_sql("top_explained", "repo"))
+    a.with_sql(a.EXPLANATIONS, _SIGNAL, _TOP_EXPLAINED, _components_sql("signal", "repo"))
     + f"""SELECT c.repo, md5({_quote(explain.SYNTHESIS_TASK)} || chr(10) || 'Components:' || chr(10)
       || c.lines || chr(10) || 'Signals:' || chr(10) || s.lines) AS prompt_md5, c.lines AS component_lines
     FROM (SELECT repo, string_agg({_COMPONENT_LINE}, chr(10) ORDER BY component) AS lines
@@ -393,7 +393,7 @@ def parrot(prompts: list[str]) -> list[str]:
     return answers
 
 
-@query(
+_ANSWERED = (
     f"""WITH prompts AS (SELECT *, trim(text, ' ' || chr(10)) AS stripped FROM documents),
     split AS (SELECT *, list_filter(string_split_regex(stripped, '\\s+'), lambda w: w <> '') AS words FROM prompts),
     answers AS (SELECT *, CASE WHEN length(text) % 7 = 0 THEN NULL
@@ -403,8 +403,10 @@ def parrot(prompts: list[str]) -> list[str]:
       CASE WHEN answer IS NOT NULL THEN {_WORD_COUNT.format(c="answer")} END AS word_count,
       answer IS NULL AS failed FROM answers"""
 )
-def batch_infer_retry(spark, folder):
-    prompts = spread(a.table(spark, folder, "documents")).select(
+
+
+def _document_prompts(spark, folder):
+    return spread(a.table(spark, folder, "documents")).select(
         F.col("source").alias("repo"),
         F.col("doc_id").cast("string").alias("file"),
         F.lit("0").alias("cluster"),
@@ -412,7 +414,9 @@ def batch_infer_retry(spark, folder):
         F.array().cast("array<string>").alias("provided_commits"),
         F.col("text").alias("prompt"),
     )
-    rows = explain.explain(prompts, parrot)
+
+
+def _answers(rows):
     return rows.select(
         F.col("file").cast("bigint").alias("doc_id"),
         F.md5("explanation").alias("explanation_md5"),
@@ -421,6 +425,30 @@ def batch_infer_retry(spark, folder):
     )
 
 
+@query(_ANSWERED)
+def batch_infer_retry(spark, folder):
+    return _answers(explain.explain(_document_prompts(spark, folder), parrot))
+
+
+def refusing(prompts: list[str]) -> list:
+    """The same stand-in, with an exception in place of each answer that it refuses."""
+    found = []
+    for prompt in prompts:
+        try:
+            found += parrot([prompt])
+        except ValueError as e:
+            found.append(e)
+    return found
+
+
+@query(_ANSWERED)
+def batch_checkpoints(spark, folder):
+    """The same answers, committed batch by batch (three of them, at any size)."""
+    prompts = _document_prompts(spark, folder)
+    rows = -(-prompts.count() // 3)
+    return _answers(explain.explain_pending(prompts, refusing, scratch_path(spark, "explained"), batch_rows=rows))
+
+
 _SNAPSHOT_PROMPTS = f"""prompts AS (SELECT *, {_SNAPSHOT_PROMPT} AS prompt FROM snapshots)"""
 
 

@@ -46,9 +46,10 @@ def with_commit_time(
 ) -> DataFrame:
     """Add the commit time; rows without a commit get the earliest instant.
 
-    ``time_missing`` tells those rows apart.
+    ``time_missing`` tells those rows apart. A commit that is listed several times has
+    the latest of its times and never repeats a row.
     """
-    times = commits.select("repo_name", "commit_hash", time)
+    times = commits.groupBy("repo_name", "commit_hash").agg(F.max(time).alias(time))
     joined = metrics.join(times, ["repo_name", "commit_hash"], "left")
     # One day late, so that every client zone can show it.
     earliest = F.lit("0001-01-02 00:00:00").cast("timestamp")

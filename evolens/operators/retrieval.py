@@ -53,12 +53,14 @@ def diff_documents(diffs: DataFrame, commits: DataFrame) -> DataFrame:
     """One document per change that is long enough to say something.
 
     Messages are looked up by commit hash alone; a hash in several repositories
-    keeps one of its messages, the last by repository name.
+    keeps one of its messages, the last by repository name. A change that is listed several
+    times gives one document, of its last text in alphabetical order.
     """
     messages = latest_per_key(
         commits.select("commit_hash", "repo_name", "message"), ["commit_hash"], ["repo_name"]
     ).select("commit_hash", "message")
     kept = diffs.filter(F.length("diff_text") >= fv.MIN_DIFF_CHARS)
+    kept = kept.groupBy("repo_name", "commit_hash", "file_path").agg(F.max("diff_text").alias("diff_text"))
     joined = kept.join(messages, "commit_hash", "left")
     return joined.select(
         F.col("repo_name").alias("repo"),

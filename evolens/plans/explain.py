@@ -17,10 +17,12 @@ from evolens.functions import text
 from evolens.operators import summary
 from evolens.operators.context import with_context
 from evolens.operators.joins import lookup_join
+from evolens.operators.ordering import running_totals
 from evolens.operators.retrieval import SCOPE
 from evolens.operators.selection import latest_by_frequency, top_k, top_k_per_group
-from evolens.session import materialise
-from evolens.sources.writers import append_batch, pending, report_json, report_markdown
+from evolens.session import materialise, spread
+from evolens.sources import parts
+from evolens.sources.writers import pending, report_json, report_markdown
 
 Generator = Callable[[list[str]], Sequence[str]]
 
@@ -46,6 +48,9 @@ CHANGES_TASK = "Summarise the kinds of change these descriptions have in common.
 SYNTHESIS_TASK = "Describe patterns that show only when these files are compared with each other."
 
 MAX_SHOWN = 2
+# Prompts of a batch, after which results are committed.
+BATCH_ROWS = 1_000
+_PLAN, _RESULT = "plan", "result"
 SHOWN_CHANGE = "[change %d, made by %s]\n%s\n[end of change %d]\n"
 
 
@@ -146,9 +151,11 @@ def prompt_table(
 
 
 def generate(prompts: DataFrame, generator: Generator, column: str = "prompt") -> DataFrame:
-    """Add ``response`` and ``error``. A batch that fails is halved until the rows that
-    fail stand alone; those keep their error while the job goes on. A row that stood
-    alone is not sent again."""
+    """Add ``response`` and ``error``.
+
+    A generator may answer a prompt with an exception: that row keeps it as its error and nothing is sent again. A batch
+    that fails as a whole is halved until the rows that fail stand alone; a row that stood alone is not sent again.
+    """
 
     def answers(batch: list[str]) -> list[tuple[str | None, str | None]]:
         if not batch:
@@ -156,7 +163,7 @@ def generate(prompts: DataFrame, generator: Generator, column: str = "prompt") -
         try:
             texts = list(generator(batch))
             if len(texts) == len(batch):
-                return [(t, None) for t in texts]
+                return [(None, str(t)) if isinstance(t, Exception) else (t, None) for t in texts]
             error = f"{len(texts)} answers to {len(batch)} prompts"
         except Exception as e:  # noqa: BLE001 - any failure becomes an error row
             error = str(e)
@@ -234,17 +241,39 @@ def explain_snapshots(snapshots: DataFrame, generator: Generator) -> DataFrame:
 
 
 def explain_pending(
-    prompts: DataFrame, generator: Generator, results_path: str, keys: Sequence[str] = SCOPE
+    prompts: DataFrame,
+    generator: Generator,
+    folder: str,
+    keys: Sequence[str] = SCOPE,
+    batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """Explain what the results table does not hold yet, append it, and read it all back."""
+    """Explain, batch after batch, what ``folder`` does not hold yet, and read all results back.
+
+    Prompts are dealt into numbered batches of ``batch_rows`` by their keys, and the batches are stored; those of an
+    earlier run stay as they were, prompts it did not know get new ones. A batch is one job on all executors, whose
+    results are committed when it ends: a run that was killed repeats at most the batch it was in. Keys are unique.
+    """
     spark = prompts.sparkSession
-    try:
-        prompts = pending(prompts, spark.read.parquet(results_path), keys)
-    except Exception as e:  # the first run has no results table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    append_batch(explain(prompts, generator), results_path)
-    return spark.read.parquet(results_path)
+    planned = parts.committed(spark, folder, [_PLAN])
+    if planned:
+        prompts = pending(prompts, parts.read(spark, folder, planned), keys)
+    prompts = materialise(prompts)
+    if not prompts.isEmpty():
+        first = 1 + max((v for _, v, _ in planned), default=0)
+        numbered = running_totals(prompts, keys, output="_before")
+        numbered = numbered.withColumn("_batch", F.lit(first) + F.floor(F.col("_before") / batch_rows)).drop("_before")
+        last = first + (prompts.count() - 1) // batch_rows
+        parts.add(numbered.repartition("_batch").sortWithinPartitions("_batch"), folder, _PLAN, last)
+        planned = parts.committed(spark, folder, [_PLAN])
+    done = {v for _, v, _ in parts.committed(spark, folder, [_RESULT])}
+    if planned:
+        plan = parts.read(spark, folder, planned)
+        for batch in range(1, planned[-1][1] + 1):
+            if batch not in done:
+                some = plan.where(F.col("_batch") == batch).drop("_batch")
+                parts.add(explain(spread(some), generator), folder, _RESULT, batch)
+    found = parts.committed(spark, folder, [_RESULT])
+    return parts.read(spark, folder, found) if found else explain(prompts, generator)
 
 
 # --- synthesis --------------------------------------------------------------
@@ -277,12 +306,14 @@ def joined_lines(lines: DataFrame, order: Sequence[Column], group: Sequence[str]
 def synthesis_prompts(
     explanations: DataFrame, group: Sequence[str] = (), k: int | None = None
 ) -> DataFrame:
-    """One prompt per run: component lines, then signal lines, highest anomaly first."""
+    """One prompt per run: component lines, then signal lines, highest anomaly first.
+
+    Components are counted over all explanations; ``k`` limits the signal lines.
+    """
     group = list(group)
     order = [-F.coalesce(F.col("anomaly_score"), F.lit(0.0)), F.col("file")]
-    if k is not None:
-        explanations = top_k_per_group(explanations, group, order, k).drop("rank")
-    signals = joined_lines(signal_lines(explanations), order, group)
+    shown = explanations if k is None else top_k_per_group(explanations, group, order, k).drop("rank")
+    signals = joined_lines(signal_lines(shown), order, group)
     per_component = summary.component_summary(explanations, group)
     components = joined_lines(per_component, [F.col("component")], group)
     components = components.withColumnRenamed("lines", "component_lines")
