@@ -259,3 +259,44 @@ def test_quantiles_at_every_size(spark, q):
     for n in sizes:
         values = [i % 2 if n == 10 else i * 3 for i in range(n)]
         assert found[n] == pytest.approx(np.quantile(values, q)), n
+
+
+def test_quantiles_of_uneven_values(spark, monkeypatch):
+    from evolens.operators import quantiles
+
+    values = [0.0, -0.0, 1e-300, 1e-290, -1e308, 1e308, 1.5, 1.5, 1.5, -7.0, 2.0**-1074, 1e9, 1e9 + 1]
+    rows = [("few", v) for v in values] + [("one", 3.0)] * 5000 + [("two", float(i % 2)) for i in range(4001)] + [(None, 4.0), ("null", None)]
+    rows += [("powers", float(2 ** (i % 1000))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    monkeypatch.setattr(quantiles, "CUTS", 4)
+    monkeypatch.setattr(quantiles, "BRACKET", 0.4)  # wide and few, so that several passes are needed
+    for q in (0.3, 1.0):
+        found = {r["g"]: r["value"] for r in quantiles.exact_quantiles(df, ["g"], ["x"], q).collect()}
+        for g in ("few", "one", "two", "powers"):
+            assert found[g] == pytest.approx(np.quantile([v for k, v in rows if k == g], q)), (g, q)
+
+
+def test_pivots_skip_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "DOCUMENT_BLOCK", 20)
+    monkeypatch.setattr(retrieval, "PIVOTS", 8)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 3)) + 50 * rng.integers(0, 6, size=(600, 1))
+    docs = spark.createDataFrame([("r", f"f{i % 3}", i, v.tolist()) for i, v in enumerate(x)], DOCS)
+    asked = x[:3].copy()
+    queries = spark.createDataFrame([("r", f"f{i}", v.tolist()) for i, v in enumerate(asked)], QUERIES)
+    got = {(r.file, r["rank"]): r.commit for r in retrieval.knn_overfetch(docs, queries, 2, factor=3).collect()}
+    x = x.astype("float32").astype(float)
+    for i in range(3):
+        near = sorted(range(600), key=lambda j: (((x[j] - asked[i]) ** 2).sum(), j))[:6]
+        own = [j for j in near if j % 3 == i][:2]
+        assert [got.get((f"f{i}", n + 1)) for n in range(len(own))] == own
+    pivots = np.array([r.embedding for r in docs.orderBy("commit").limit(8).collect()], dtype=float)
+    placed, blocks = retrieval._shells(docs.withColumn("_vector", F.col("embedding").cast("array<double>")), pivots, ["repo", "file", "commit"])
+    visits = retrieval._visits(queries.withColumn("_vector", F.col("query")), pivots, blocks, 6)
+    assert placed.count() == 600 and len(blocks) > 20
+    assert visits.count() < len(blocks)  # of three queries; visiting all would be three times as many
+    same = docs.withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>"))  # one distance, many blocks
+    zero = queries.withColumn("query", F.array(F.lit(0.0), F.lit(0.0)).cast("array<double>"))
+    found = [(r.file, r.commit) for r in retrieval.knn_overfetch(same, zero, 2, factor=3).collect()]
+    assert sorted(found) == [(f"f{c % 3}", c) for c in (0, 3, 1, 4, 2, 5)]
+    assert retrieval.knn_overfetch(docs.limit(0), queries).count() == 0
