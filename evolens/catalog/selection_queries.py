@@ -14,6 +14,7 @@ from evolens.functions import fixed_values as fv
 from evolens.functions import paths, times
 from evolens.functions.labels import add_rule_labels
 from evolens.operators import context, quantiles, selection, summary
+from evolens.session import materialise
 from evolens.plans import study
 from evolens.plans.analysis import flatten, pack
 from evolens.sources import writers
@@ -44,6 +45,22 @@ def commit_counts(spark, folder):
     return selection.commit_counts(a.changes(spark, folder), REPOS)
 
 
+@query(
+    a.with_sql(a.CHANGES)
+    + """SELECT repo_name, file_path, true AS within_error FROM changes
+    WHERE file_path <> '' AND commit_hash <> '' GROUP BY repo_name, file_path"""
+)
+def commit_count_sketches(spark, folder):
+    """Sketches of two increments, united, against exact counts: within four standard errors."""
+    changes = a.changes(spark, folder)
+    added = F.pmod(F.xxhash64("commit_hash", "change_type"), F.lit(2))
+    stored = [materialise(selection.commit_sketches(changes.where(added == i))) for i in (0, 1)]
+    exact = selection.commit_counts(changes).withColumnRenamed("n_commits", "exact")
+    both = selection.merged_counts(*stored).join(exact, ["repo_name", "file_path"])
+    allowed = F.greatest(F.lit(0.5), 4 * selection.sketch_error() * F.col("exact"))
+    return both.select("repo_name", "file_path", (F.abs(F.col("n_commits") - F.col("exact")) <= allowed).alias("within_error"))
+
+
 _TOP_COUNT = f"""top_count AS (
   SELECT repo_name, file_path, CAST(n_commits AS DOUBLE) AS score, 'commit_count' AS score_label FROM (
     SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY n_commits DESC, file_path) AS rn FROM counts)

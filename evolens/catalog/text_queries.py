@@ -12,7 +12,7 @@ from evolens.catalog.source_queries import _SNAPSHOT_CTES, _snapshots
 from evolens.functions import fixed_values as fv
 from evolens.functions import text
 from evolens.functions.labels import add_rule_labels
-from evolens.operators import retrieval, summary
+from evolens.operators import grounding, retrieval, summary
 from evolens.plans import explain
 from evolens.session import scratch_path, spread
 
@@ -59,6 +59,24 @@ def strip_ungrounded(spark, folder):
     return a.explanations(spark, folder).select("doc_id", F.md5(masked).alias("masked_md5"))
 
 
+@query(
+    a.with_sql(*_TOKENS)
+    + """, valid AS (SELECT md5('commit' || l_orderkey || '/' || l_linenumber) AS v FROM lineitem
+        UNION SELECT unnest(provided) FROM explanations),
+      buckets AS (SELECT v[1:7] AS bucket, min(v) AS v FROM valid GROUP BY ALL),
+      found AS (SELECT doc_id, unnest(list_distinct(hashes)) AS token FROM tokens)
+    SELECT t.doc_id, count(f.token) AS tokens, count(b.v) AS grounded, count(DISTINCT b.v) AS hashes
+    FROM tokens t LEFT JOIN found f USING (doc_id) LEFT JOIN buckets b ON b.bucket = f.token[1:7] GROUP BY t.doc_id"""
+)
+def grounding_join(spark, folder):
+    """References against one table of valid hashes, a row for each line item and each commit that any text was given."""
+    rows = a.explanations(spark, folder)
+    lines = a.table(spark, folder, "lineitem")
+    name = F.concat(F.lit("commit"), F.col("l_orderkey"), F.lit("/"), F.col("l_linenumber"))
+    valid = lines.select(F.md5(name).alias("commit_hash")).unionByName(rows.select(F.explode("provided").alias("commit_hash")))
+    return grounding.grounded_references(rows.select("doc_id", "explanation"), "doc_id", "explanation", valid)
+
+
 def _replaced_sql(column: str) -> str:
     for phrase, replacement in fv.PHRASE_REPLACEMENTS:
         column = f"regexp_replace({column}, '{phrase}', '{replacement}', 'gi')"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from evolens.functions import fixed_values as fv
 from evolens.functions import paths
 
 
+SKETCH_PRECISION = 12
+
+
 def only_repos(df: DataFrame, repos: Sequence[str] | None) -> DataFrame:
     """Rows of the given repositories; all of them when none are given."""
     return df if repos is None else df.filter(F.col("repo_name").isin(*repos))
@@ -40,6 +44,26 @@ def commit_counts(changes: DataFrame, repos: Sequence[str] | None = None) -> Dat
     )
 
 
+def commit_sketches(changes: DataFrame, precision: int = SKETCH_PRECISION) -> DataFrame:
+    """A mergeable sketch of the different commits of each file: stored once, and united with those of later changes."""
+    rows = changes.filter(_filled("file_path") & _filled("commit_hash"))
+    return rows.groupBy("repo_name", "file_path").agg(F.hll_sketch_agg("commit_hash", F.lit(precision)).alias("sketch"))
+
+
+def merged_counts(*sketches: DataFrame) -> DataFrame:
+    """About how many different commits each file has in all tables of sketches together; no change is read again.
+
+    The standard error is `sketch_error(precision)` of the count; counts that small sketches hold whole are exact.
+    """
+    every = reduce(DataFrame.unionByName, sketches)
+    merged = every.groupBy("repo_name", "file_path").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select("repo_name", "file_path", F.hll_sketch_estimate("sketch").alias("n_commits"))
+
+
+def sketch_error(precision: int = SKETCH_PRECISION) -> float:
+    return 1.04 / 2 ** (precision / 2)
+
+
 def top_k_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int = fv.TOP_K
 ) -> DataFrame:
