@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from evolens.session import materialise
 
 
-def running_totals(df: DataFrame, order: Sequence[str], weight: str | None = None, output: str = "before") -> DataFrame:
-    """Adds ``output``: the summed ``weight`` (by default the number) of all rows earlier in the order.
+def running_totals(
+    df: DataFrame, order: Sequence[str], weight: str | None = None, output: str = "before", total: str | None = None
+) -> DataFrame:
+    """Adds ``output``: the summed ``weight`` (by default the number) of all rows earlier in the order; as ``total`` that of all.
 
     Rows should differ in ``order``. The table is range partitioned, every part adds up its own rows, and one number
     per part reaches the driver, where it becomes the offset of the next part.
@@ -26,4 +28,5 @@ def running_totals(df: DataFrame, order: Sequence[str], weight: str | None = Non
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = parts.withColumn("_within", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     joined = within.join(F.broadcast(shift), "_part")  # a row for each part
-    return joined.withColumn(output, F.col("_within") + F.col("_offset")).drop("_part", "_value", "_within", "_offset")
+    added = joined.withColumn(output, F.col("_within") + F.col("_offset")).drop("_part", "_value", "_within", "_offset")
+    return added if total is None else added.withColumn(total, F.lit(offsets[-1]).cast("bigint"))
