@@ -42,7 +42,10 @@ def longest_series(
     points = lookup_join(
         rows, materialise(longest), ["repo_name", "file_path"], "left_semi", salt_on=["commit_hash"]
     )
-    dated = points.join(dates, ["repo_name", "commit_hash"], "left")
+    # Only the commits of these points are dated; the semi join goes below the parsing and grouping of all dates.
+    points, keys = materialise(points), ["repo_name", "commit_hash"]
+    needed = points.select(*keys).distinct()
+    dated = points.join(lookup_join(dates, needed, keys, "left_semi", salt_on=["commit_hash"]), keys, "left")
     return dated.select(
         "repo_name",
         "file_path",
