@@ -6,8 +6,9 @@ whatever the order of tokens, as long as it is the same for all sets. The steps:
 
 1. Texts with equal sets are one class; from here on there is one set for each class.
 2. First order: rare before frequent. Tokens found in more than HEAVY texts come last (by number of texts), all others by
-   hash. Only tokens whose hashes come first are counted, somewhat more than prefixes are made of; the others count as
-   rare. A bit filter of the tokens counted more than once goes to every task, so that tokens of one text alone are not
+   hash. Of the tokens whose hashes come first, somewhat more than prefixes are made of, all are counted; of the others
+   those that some slice of a task's texts holds more than once, so that passages which many texts share come last
+   wherever they hash, and the rest counts as rare. A bit filter of the tokens counted more than once goes to every task, so that tokens of one text alone are not
    shuffled again; where it is too small for the table, it lets more of them through. Prefixes are longer than needed,
    so that more than one token must be shared; a class with fewer shared prefix tokens has no partner and is done.
 3. Under further orders, by other hashes of the shared prefix tokens, classes meet that have the same first. A class is
@@ -15,7 +16,8 @@ whatever the order of tokens, as long as it is the same for all sets. The steps:
    comparisons for each member, instead of all its pairs. Rounds go on until one finds few links, ROUNDS at most; they
    save work but decide nothing.
 4. All pairs that share enough prefix tokens under the first order and are still in different components, and whose
-   sizes and the tokens' places allow it, are compared by a sketch (token counts by bucket, which bound the overlap from
+   sizes, parities (of the number of tokens in each of PARITIES buckets: two sets differ in at least as many tokens as
+   parities) and the tokens' places allow it, are compared by a sketch (token counts by bucket, which bound the overlap from
    above), must also share prefix tokens under two further orders, and are then compared exactly. So every link
    between different components is found, and components are exact.
 
@@ -27,6 +29,8 @@ Broadcast are only the heavy tokens, MOST_HEAVY at most (the bound on texts is r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,7 @@ MARKS = (23, 29, 35)  # a token marks the bits of its word that are named by its
 MOST_BROADCAST = 1_000_000  # ids
 COUNTED = 1.55  # times the share of a set that a prefix takes: so much of the tokens, by hash, is counted
 FURTHER_COMMON = 20  # a prefix is longer by a token for each so many tokens, and as many more tokens must be shared
+PARITIES = 512
 ROUNDS = 3
 GROUP = 500
 TRIES = 48
@@ -126,6 +131,15 @@ def sketch_counts(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether the number of tokens in each of PARITIES buckets is odd, as 64-bit words."""
+    bucket = (tokens >> np.uint64(64 - (PARITIES - 1).bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(bucket, minlength=PARITIES).astype(np.uint8) & 1).view(np.int64)
+
+
+_PARITY = [f"parity_{i}" for i in range(PARITIES // 64)]
+
+
 def can_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """False if the sketches show that the sets cannot be linked: no bucket shares more than its smaller count."""
     total = int(a.sum()) + int(b.sum())
@@ -171,20 +185,23 @@ def _repeated(heavy: DataFrame, n: int) -> np.ndarray:
 
 
 def _heavy_tokens(docs: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent of the counted tokens with their numbers of texts, and the filter of all that repeat."""
+    """The most frequent of the counted tokens with their numbers of texts, and the filter of all below that repeat."""
     below = counted_below(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch, words)
-            tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            token, n = np.unique(tokens[tokens < np.uint64(below)], return_counts=True)
+            token, n = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
+            sent = (token < np.uint64(below)) | (n > 1)
+            token, n = token[sent], n[sent]
             yield pa.RecordBatch.from_arrays([_longs(token), pa.array(n.astype(np.int64))], ["token", "n"])
 
     counted = docs.select("text").mapInArrow(run, "token bigint, n bigint")
     heavy = materialise(counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY))
     bound, repeated = HEAVY, heavy.count()
-    filtered, n = _repeated(heavy, repeated), repeated
+    # unsigned order: as signed numbers, those from 2 ** 63 are the negative ones
+    low = heavy.where((F.col("token") >= 0) & (F.col("token") < below) if below < 1 << 63 else (F.col("token") >= 0) | (F.col("token") < below - (1 << 64)))
+    filtered, n = _repeated(low, low.count()), repeated
     while n > MOST_HEAVY:
         bound *= 2
         n = heavy.where(F.col("n") > bound).count()
@@ -220,16 +237,18 @@ def _postings(docs: DataFrame, words: int, percent: int, heavy: tuple[np.ndarray
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """class, tokens and sketch of every text."""
+    """class, tokens, sketch and parities of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch, words)
             arrays = [pa.array([class_of(s) for s in sets], pa.int64())]
             arrays += [pa.array([f(s) for s in sets], pa.binary()) for f in (np.ndarray.tobytes, sketch)]
-            yield pa.RecordBatch.from_arrays(arrays, ["class", "tokens", "sketch"])
+            odd = np.array([parities(s) for s in sets], dtype=np.int64).reshape(len(sets), -1)
+            arrays += [pa.array(odd[:, i]) for i in range(len(_PARITY))]
+            yield pa.RecordBatch.from_arrays(arrays, ["class", "tokens", "sketch", *_PARITY])
 
-    return docs.select("text").mapInArrow(run, "class bigint, tokens binary, sketch binary")
+    return docs.select("text").mapInArrow(run, "class bigint, tokens binary, sketch binary, " + ", ".join(f"{c} bigint" for c in _PARITY))
 
 
 def _with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -259,11 +278,11 @@ def _round(shared: DataFrame, sets: DataFrame, found: DataFrame | None, order: i
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
         for batch in batches:
             a, b = [], []
-            names = ("key", "part", "class", "component", "tokens")
-            for key, part, name, component, tokens in zip(*(batch.column(c).to_pylist() for c in names)):
+            names = ("key", "part", "class", "component")
+            for i, (key, part, name, component) in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
                 if (key, part) != at:
                     at, root, held = (key, part), {}, {}
-                mine = np.frombuffer(tokens, dtype=np.uint64)
+                mine = np.frombuffer(batch.column("tokens")[i].as_py(), dtype=np.uint64)
                 own = component
                 while own in root:
                     own = root[own]
@@ -287,15 +306,19 @@ def _remaining(shared: DataFrame, sets: DataFrame, found: DataFrame | None, perc
     sized = _with_component(shared, found)
     parts = sized.groupBy("token", "component").agg(F.count("*").alias("rows"))
     major = parts.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("major"), F.count("*").alias("parts"))
-    open_ = materialise(sized.join(major.where("parts > 1").drop("parts"), "token"))
-    minor = open_.where("component <> major").select("token", *(F.col(c).alias(f"{c}_a") for c in ("class", "component", "n", "place")))
+    open_ = sized.join(major.where("parts > 1").drop("parts"), "token")
+    open_ = materialise(open_.join(sets.select("class", *_PARITY), "class"))
+    minor = open_.where("component <> major").select("token", *(F.col(c).alias(f"{c}_a") for c in ("class", "component", "n", "place", *_PARITY)))
     # nothing before the first token they share is shared: the row of that token keeps every pair that can be linked
     most = F.least(F.col("n") - F.col("place"), F.col("n_a") - F.col("place_a")).cast("bigint")
     sizes = 100 * F.least("n", "n_a").cast("bigint") >= percent * F.greatest("n", "n_a").cast("bigint")
     different = F.col("component") != F.col("component_a")
     fits = 100 * most >= percent * (F.col("n") + F.col("n_a") - most)
     once = (F.col("component") == F.col("major")) | (F.col("class_a") < F.col("class"))
-    pairs = minor.join(open_, "token").where(different & sizes & once)
+    # linked sets of n and m tokens have at least percent * (n + m) / (100 + percent) in common
+    apart = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in _PARITY))
+    near = (100 + percent) * apart.cast("bigint") <= (100 - percent) * (F.col("n") + F.col("n_a")).cast("bigint")
+    pairs = minor.join(open_, "token").where(different & sizes & once & near)
     pairs = pairs.groupBy(F.least("class", "class_a").alias("a"), F.greatest("class", "class_a").alias("b"))
     # each token that two classes share is one row here
     enough = 1 + F.floor(F.min(F.least("n", "n_a")) / FURTHER_COMMON)
