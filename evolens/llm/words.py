@@ -1,7 +1,7 @@
 """Words of UTF-8 texts as 64-bit hashes, whole Arrow batches at a time.
 
 A word's hash depends on its bytes alone (ASCII letters lower-cased), never on the batch or the machine. Texts are
-worked through in slices of a few megabytes, cut between words, so memory follows the slice and not the text.
+worked through in slices of a quarter of a megabyte, cut between words, so memory follows the slice and not the text.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
-BATCH_BYTES = 4 << 20
+SLICE_BYTES = 1 << 18
+BATCH_BYTES = 2 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
