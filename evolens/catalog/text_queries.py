@@ -501,9 +501,7 @@ final_answers AS (
 _EXPLAINED_WORDS = a.WORDS.replace("FROM explanations", "FROM final_answers")
 
 
-@query(
-    a.with_sql(*_PROMPTS, _EXPLAINED, _EXPLAINED_WORDS)
-    + f"""SELECT repo, file, cluster, anomaly_score, answer IS NULL AS failed,
+_EXPLANATION_ROWS = f"""SELECT repo, file, cluster, anomaly_score, answer IS NULL AS failed,
       CASE WHEN answer IS NOT NULL THEN {_WORD_COUNT.format(c="explanation")} END AS word_count,
       len(list_filter(hashes, lambda t: len(list_filter(provided, lambda v:
         {_SUPPORTED.format(t='t')})) > 0)) > 0 AS grounded,
@@ -512,13 +510,9 @@ _EXPLAINED_WORDS = a.WORDS.replace("FROM explanations", "FROM final_answers")
           AND len(list_filter(provided, lambda v: {_SUPPORTED.format(t='w')})) = 0 THEN '[commit]'
           ELSE w END) || coalesce(gaps[i], '')), '') END) AS explanation_md5,
       {fv.TOP_K} AS files_reported FROM tokens"""
-)
-def explain_run(spark, folder):
-    """Select, explain, measure, synthesise and report, with the stand-in generator."""
-    labelled = add_rule_labels(a.analysed(spark, folder))
-    clusters = summary.cluster_summary(labelled)
-    retrieved = _retrieved(spark, folder)
-    explanations, report = explain.explain_run(flat(spark, folder), retrieved, clusters, parrot)
+
+
+def _explained(explanations, report):
     schema = "metadata struct<files_analyzed:int>"
     reported = report.select(F.from_json("json", schema)["metadata"]["files_analyzed"]).scalar()
     return explanations.select(
@@ -531,3 +525,98 @@ def explain_run(spark, folder):
         (F.size("referenced_commits") > 0).alias("grounded"),
         F.md5("explanation").alias("explanation_md5"),
     ).withColumn("files_reported", reported)
+
+
+@query(a.with_sql(*_PROMPTS, _EXPLAINED, _EXPLAINED_WORDS) + _EXPLANATION_ROWS)
+def explain_run(spark, folder):
+    """Select, explain, measure, synthesise and report, with the stand-in generator."""
+    labelled = add_rule_labels(a.analysed(spark, folder))
+    clusters = summary.cluster_summary(labelled)
+    retrieved = _retrieved(spark, folder)
+    explanations, report = explain.explain_run(flat(spark, folder), retrieved, clusters, parrot)
+    return _explained(explanations, report)
+
+
+# Vectors that SQL can count as well: how often each of these letters occurs.
+_LETTERS = "aeinorstlmd0123456789"
+_CHANGE_SCOPES = """change_scopes AS (
+  SELECT repo_name, file_path, CASE WHEN count(*) % 3 = 0 THEN NULL
+    WHEN count(*) % 3 = 1 THEN list_distinct([min(commit_hash), max(commit_hash)])
+    ELSE list_distinct([min(commit_hash), max(commit_hash), arg_min(commit_hash, md5(commit_hash || 'a')),
+      arg_max(commit_hash, md5(commit_hash || 'a')), arg_min(commit_hash, md5(commit_hash || 'b')),
+      arg_max(commit_hash, md5(commit_hash || 'b'))]) END AS inflection
+  FROM text_changes GROUP BY repo_name, file_path)"""
+
+
+def _letters_sql(column: str) -> str:
+    letters = ", ".join(f"'{c}'" for c in _LETTERS)
+    return f"list_transform([{letters}], lambda c: CAST(length({column}) - length(replace({column}, c, '')) AS DOUBLE))"
+
+
+_SEARCHED = f"""questions AS (
+  SELECT repo_name, file_path, 'Find code changes related to:' || chr(10) || 'File: ' || file_path
+    || chr(10) || 'Repository: ' || repo_name || chr(10) || 'Behavior: ' || churn_label
+    || ', anomaly score ' || q // 1000 || '.' || lpad(CAST(q % 1000 AS VARCHAR), 3, '0') AS question
+  FROM thousandths),
+searched AS (
+  SELECT c.repo_name, c.file_path, commit_hash, content, inflection,
+    list_distance({_letters_sql("question")}, {_letters_sql("content")}) AS distance
+  FROM text_changes c JOIN questions USING (repo_name, file_path) JOIN change_scopes USING (repo_name, file_path)
+  WHERE inflection IS NULL OR list_contains(inflection, commit_hash)),
+retrieved AS (
+  SELECT repo_name AS repo, file_path AS file, commit_hash AS "commit", content AS document,
+    CASE WHEN inflection IS NOT NULL AND count(*) OVER (PARTITION BY repo_name, file_path) <= 3
+      THEN row_number() OVER (PARTITION BY repo_name, file_path ORDER BY commit_hash)
+      ELSE row_number() OVER (PARTITION BY repo_name, file_path ORDER BY distance, commit_hash) END AS rank
+  FROM searched),
+evidence AS {_RETRIEVED.split("evidence AS", 1)[1]}"""
+_SEARCHED_PROMPTS = [*CONTEXT, a.TEXT_CHANGES, _CHANGE_SCOPES, _THOUSANDTHS, _SEARCHED, _CLUSTER_LABELS, _FILE_PROMPTS]
+
+
+def count_letters(df, column, output):
+    counts = [F.length(column) - F.length(F.replace(F.col(column), F.lit(c), F.lit(""))) for c in _LETTERS]
+    return df.withColumn(output, F.array(*[c.cast("float") for c in counts]))
+
+
+def _change_corpus(spark, folder):
+    """Every change as a document with its vector, and the commits that some entities name."""
+    documents = a.text_changes(spark, folder).select(
+        F.col("repo_name").alias("repo"),
+        F.col("file_path").alias("file"),
+        F.col("commit_hash").alias("commit"),
+        F.col("content").alias("document"),
+    )
+    ends = [F.min("commit"), F.max("commit")]
+    drawn = [pick("commit", F.md5(F.concat("commit", F.lit(x)))) for x in "ab" for pick in (F.min_by, F.max_by)]
+    named = (
+        F.when(F.count("*") % 3 == 1, F.array_distinct(F.array(*ends)))
+        .when(F.count("*") % 3 == 2, F.array_distinct(F.array(*ends, *drawn)))
+    )
+    inflections = documents.groupBy("repo", "file").agg(named.alias("inflection_commits"))
+    return count_letters(documents, "document", "embedding"), inflections
+
+
+@query(
+    a.with_sql(*_SEARCHED_PROMPTS)
+    + """SELECT repo, file, anomaly_score, provided, md5(prompt) AS prompt_md5 FROM file_prompts"""
+)
+def prompt_retrieval(spark, folder):
+    """Entity, question, vector, search in its scope and prompt, for every entity, in one plan."""
+    corpus, inflections = _change_corpus(spark, folder)
+    entities = flat(spark, folder)
+    retrieved = explain.retrieve_evidence(entities, corpus, count_letters, inflections)
+    clusters = summary.cluster_summary(add_rule_labels(a.analysed(spark, folder)))
+    rows = explain.prompt_table(entities, retrieved, clusters)
+    provided = F.array_join("provided_commits", " ").alias("provided")
+    return rows.select("repo", "file", "anomaly_score", provided, F.md5("prompt").alias("prompt_md5"))
+
+
+@query(a.with_sql(*_SEARCHED_PROMPTS, _EXPLAINED, _EXPLAINED_WORDS) + _EXPLANATION_ROWS)
+def explain_corpus(spark, folder):
+    """The run with its own retrieval, from entities and documents to the report."""
+    corpus, inflections = _change_corpus(spark, folder)
+    clusters = summary.cluster_summary(add_rule_labels(a.analysed(spark, folder)))
+    found = explain.explain_corpus(
+        flat(spark, folder), corpus, clusters, parrot, embed=count_letters, inflections=inflections
+    )
+    return _explained(*found)

@@ -1,5 +1,6 @@
 """Prompts, generation with failures and retries, and resuming."""
 
+import re
 import uuid
 
 import pytest
@@ -129,3 +130,47 @@ def test_evolution_end_to_end(spark, folder):
     assert none.count() == 0 and summary.count() == 0
     with pytest.raises(ValueError, match="available"):
         evolution(history.drop("timestamp"), commits, head, repo="missing")
+
+
+def test_evidence_is_searched_in_the_entity_s_scope(spark):
+    rows = [
+        ("r", "a", "c1", "red fish"),
+        ("r", "a", "c2", "Behavior high, File a, Repository r, anomaly score"),
+        ("r", "a", "c3", "blue fish"),
+        ("r", "a", "c4", "green fish"),
+        ("r", "b", "c5", "no entity asks for this"),
+        ("q", "a", "c6", "another repository"),
+    ]
+    documents = spark.createDataFrame(rows, "repo string, file string, commit string, document string")
+    corpus = explain.hash_embedding(documents, "document")
+    entity = "repo_name string, file_path string, churn_label string, anomaly_score double"
+    flat = spark.createDataFrame([("r", "a", "high", 0.5), ("r", "a", "high", 0.5), ("r", "none", None, None)], entity)
+
+    def ranked(inflections=None, k=3):
+        found = explain.retrieve_evidence(flat, corpus, inflections=inflections, k=k).collect()
+        assert {(r.repo, r.file) for r in found} <= {("r", "a")}
+        return [r.commit for r in sorted(found, key=lambda r: r["rank"])]
+
+    assert ranked(k=1) == ["c2"]
+    assert sorted(ranked(k=9)) == ["c1", "c2", "c3", "c4"]
+    named = spark.createDataFrame([("r", "a", ["c3", "c1", "gone"])], "repo string, file string, inflection_commits array<string>")
+    assert ranked(named) == ["c1", "c3"]
+    assert len(ranked(named, k=1)) == 1
+    assert explain.retrieve_evidence(flat, corpus.limit(0)).count() == 0
+
+
+def test_run_with_its_own_retrieval(spark, folder):
+    from evolens.catalog import text_queries as t
+
+    corpus, _ = t._change_corpus(spark, folder)
+    flat = t.flat(spark, folder)
+    clusters = t.summary.cluster_summary(t.add_rule_labels(a.analysed(spark, folder)))
+    embedded = explain.hash_embedding(corpus.drop("embedding"), "document")
+    explanations, report = explain.explain_corpus(flat, embedded, clusters, lambda batch: [p for p in batch], k=4)
+    rows = explanations.collect()
+    assert len(rows) == 4 and report.count() == 1
+    own = embedded.groupBy("repo", "file").agg(F.collect_set(F.substring("commit", 1, 8)).alias("commits"))
+    own = {(r.repo, r.file): r.commits for r in own.collect()}
+    made_by = {(r.repo, r.file): re.findall(r"\[change \d+, made by (.*?)\]", r.explanation) for r in rows}
+    assert any(made_by.values())
+    assert all(set(found) <= set(own.get(key, ())) for key, found in made_by.items())
