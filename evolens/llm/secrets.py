@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from evolens.llm.words import slices
 
-RULES = "1"
+RULES = "1.1"
 
 #: The formats that are looked for. Base kinds first.
 ASSIGN = re.compile(
@@ -30,8 +30,9 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: Begin and end of a private key; an end belongs to the last begin before it, however far.
+KEY_MARK = re.compile(r"-----(BEGIN|END) (?:[A-Z]+ ){0,3}PRIVATE KEY-----")
 ADDED = {
-    "private_key": re.compile(r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----(?:[^-]|-(?!-----)){0,20000}-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
     "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
     "slack": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -41,6 +42,16 @@ _ADDED_HINTS = ("PRIVATE KEY-----", "_", "xox", "eyJ")
 BASE = ("assign", "access", "hex")
 
 
+def _private_keys(text: str) -> Iterator[tuple[int, int, str]]:
+    begin = None
+    for m in KEY_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m.start()
+        elif begin is not None:
+            yield begin, m.end(), "private_key"
+            begin = None
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of everything found, by start, then kind as listed."""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
@@ -49,7 +60,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if any(h in text for h in _ADDED_HINTS):
         found += [(m.start(), m.end(), kind) for kind, rule in ADDED.items() for m in rule.finditer(text)]
-    order = {k: i for i, k in enumerate((*BASE, *ADDED))}
+        found += _private_keys(text)
+    order = {k: i for i, k in enumerate((*BASE, "private_key", *ADDED))}
     return sorted(found, key=lambda f: (f[0], order[f[2]]))
 
 

@@ -197,3 +197,10 @@ def word_pair(before, word):
     text = f"{before} {word}".encode()
     words, _ = word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]), ALNUM)
     return combine(words[:1], words[1:])
+
+
+def test_private_keys_of_any_length():
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = begin + "\nA/+z\n" * 50_000 + end
+    assert [f for f in secrets.find(f"x {key} y {end} {begin}") if f[2] == "private_key"] == [(2, 2 + len(key), "private_key")]
+    assert [f[:2] for f in secrets.find(begin + key + key) if f[2] == "private_key"] == [(len(begin), len(begin + key)), (len(begin + key), len(begin + 2 * key))]
