@@ -52,7 +52,7 @@ def op4_toxicity_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     remainder = language.id_remainder(F.col("doc_id"), 5)
     model = toxicity.train(docs, labels.where(remainder != 0))
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
-    return toxicity.scores(docs, model).select("doc_id", (remainder == 0).alias("held_out"), "score", predicted)
+    return toxicity.scores(docs, model).select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", predicted)
 
 
 @query
