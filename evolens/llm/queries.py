@@ -77,7 +77,7 @@ def op8_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
     remainder = language.id_remainder(F.col("doc_id"), 4)
     model = language.train(docs.where(remainder != 2))
     found = language.identify(docs, model)
-    return found.select("doc_id", (language.id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(language.id_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @query
