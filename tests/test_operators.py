@@ -32,6 +32,21 @@ def test_salted_join_equals_broadcast_join(spark, how):
     assert sorted(left, key=key) == sorted(right, key=key)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_large_lookup_repeats_only_crowded_keys(spark, how, monkeypatch):
+    big = spark.range(20_000).select("id", F.when(F.col("id") % 4 == 0, 7).when(F.col("id") % 4 == 1, None).otherwise(F.col("id")).alias("k"))
+    assert len(joins._crowded_slots(big, ["k"])) == 2  # that of 7 and that of null
+    assert joins._crowded_slots(spark.range(20_000), ["id"]) == []
+    monkeypatch.setattr(joins, "SALTS", 100_000)  # the whole small side so often would not end here
+    small = spark.range(0, 20_000, 3).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    want, got = big.join(small, "k", how), joins.lookup_join(big, small, ["k"], how, salt_on=["id"], max_rows=5)
+    assert got.count() == want.count() and got.exceptAll(want.select(got.columns)).isEmpty()
+    narrow = small.select(F.col("k").cast("int").alias("k"), "v").limit(20)  # equal keys of unlike types
+    monkeypatch.setattr(joins, "SALTS", 4)
+    want, got = big.join(narrow, "k", how), joins.lookup_join(big, narrow, ["k"], how, salt_on=["id"], max_rows=5)
+    assert got.count() == want.count() and got.exceptAll(want.select(got.columns)).isEmpty()
+
+
 def test_missing_times_get_the_earliest_instant(spark):
     metrics = spark.createDataFrame([("r", "a", 1), ("r", "b", 2)], "repo_name string, commit_hash string, v int")
     commits = spark.createDataFrame(
