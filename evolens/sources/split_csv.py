@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evolens.session import materialise
+
 WHOLE, HEAD, TAIL, THROUGH = range(4)  # of a record: all of it, its end, its beginning, neither
 _RANGE = ["_file", "_start"]
 
@@ -33,11 +35,13 @@ def _quotes(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
 
 
-def _inside(lines: DataFrame) -> DataFrame:
-    """The byte ranges that begin inside a quoted field."""
+def _crossed(lines: DataFrame) -> DataFrame:
+    """The byte ranges that begin or end inside a quoted field, and whether they begin there."""
     ranges = lines.groupBy(*_RANGE).agg((F.sum(_quotes(F.col("_line"))) % 2).alias("_odd"))
-    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    return ranges.withColumn("_before", F.sum("_odd").over(before)).where("_before % 2 = 1").select(*_RANGE, F.lit(True).alias("_inside"))
+    upto = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, 0)
+    states = ranges.withColumn("_upto", F.sum("_odd").over(upto))
+    inside = (F.col("_upto") - F.col("_odd")) % 2 == 1
+    return states.where(inside | (F.col("_upto") % 2 == 1)).select(*_RANGE, inside.alias("_inside"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,8 +53,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         file, start = (batch.column(c) for c in ("_file", "_start"))
         begins = batch.column("_inside")
-        keys = list(zip(pc.dictionary_encode(file).indices.to_pylist(), start.to_pylist()))
-        edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+        keys = np.stack([pc.dictionary_encode(file).indices.to_numpy(), start.to_numpy()])
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for low, high in zip(edges, edges[1:]):
             key = (file[low].as_py(), start[low].as_py())
             if key != current:
@@ -62,6 +66,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 inside = open_text is not None
             lines = batch.column("_line").slice(low, high - low)
             odd = pc.count_substring(lines, '"').to_numpy(zero_copy_only=False) % 2
+            if not inside and not odd.any():  # every line is a record
+                yield _pieces(current, WHOLE, lines, fresh)
+                fresh = fresh and not pc.any(_filled(lines)).as_py()
+                open_text, started = None, True
+                continue
             within = (np.cumsum(odd) + inside) % 2 == 1  # inside quotes after each line
             ends = np.flatnonzero(~within) + 1
             if not len(ends):
@@ -83,11 +92,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pieces(current, [TAIL if started else THROUGH], [open_text], fresh)
 
 
-def _pieces(key: tuple[str, int], kinds: list[int], texts: list[str], fresh: bool) -> pa.RecordBatch:
-    """fresh: the first of them that is not blank is the file's first record, or begins it."""
-    n = len(kinds)
-    first = next((i for i, x in enumerate(texts) if x.strip("\r")), n) if fresh else n
-    columns = [pa.array([key[0]] * n), pa.array([key[1]] * n), pa.array(kinds, pa.int8()), pa.array(texts, pa.string()), pa.array([i == first for i in range(n)])]
+def _filled(texts: pa.Array) -> pa.Array:
+    return pc.greater(pc.binary_length(pc.utf8_trim(texts, "\r")), 0)
+
+
+def _pieces(key: tuple[str, int], kinds: int | list[int], texts: pa.Array | list[str], fresh: bool) -> pa.RecordBatch:
+    """fresh: the first of them that is not blank is the file's first record, or begins it. kinds: of each, or of all."""
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    n = len(texts)
+    first = np.zeros(n, dtype=bool)
+    if fresh:
+        first[np.flatnonzero(_filled(texts).to_numpy(zero_copy_only=False))[:1]] = True
+    columns = [pa.repeat(pa.scalar(key[0], pa.string()), n), pa.repeat(pa.scalar(key[1], pa.int64()), n), pa.array(np.full(n, kinds, np.int8)), texts, pa.array(first)]
     return pa.RecordBatch.from_arrays(columns, [*_RANGE, "_kind", "_text", "_first"])
 
 
@@ -95,7 +111,8 @@ def records(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """_text of every record but each file's first one, if that is a header; empty lines are left out."""
     lines = _lines(spark, path)
     # One row at most for every byte range, and only for those that a quoted field crosses.
-    marked = lines.join(F.broadcast(_inside(lines)), _RANGE, "left")
+    crossed = materialise(_crossed(lines))
+    marked = lines.join(F.broadcast(crossed), _RANGE, "left")
     pieces = marked.mapInArrow(_cut, "_file string, _start bigint, _kind tinyint, _text string, _first boolean")
     whole = pieces.where(F.col("_kind") == WHOLE)
     # A range's end of an earlier record comes before its own beginning of a later one.
@@ -104,7 +121,9 @@ def records(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     parts = pieces.where(F.col("_kind") != WHOLE).withColumn("_number", F.sum(begins).over(order))
     in_order = F.array_sort(F.collect_list(F.struct("_start", "_text")))
     joined = parts.groupBy("_file", "_number").agg(F.array_join(F.transform(in_order, lambda p: p["_text"]), "\n").alias("_text"), F.max("_first").alias("_first"))
-    both = whole.select("_text", "_first").unionByName(joined.select("_text", "_first"))
+    both = whole.select("_text", "_first")
+    if not crossed.isEmpty():  # else every record lies in one range, and files are cut once
+        both = both.unionByName(joined.select("_text", "_first"))
     found = both.select(F.regexp_replace("_text", r"\r\z", "").alias("_text"), "_first").where("_text <> ''")
     return found.where(~F.col("_first")).drop("_first") if header else found.drop("_first")
 

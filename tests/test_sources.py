@@ -57,6 +57,22 @@ def test_csv_in_many_tasks(spark, tmp_path, size):
     assert got == rows
 
 
+@pytest.mark.parametrize("cell, cuts", [("plain", 1), ("two\nlines", 2)])
+def test_csv_without_crossing_records_is_cut_once(spark, tmp_path, cell, cuts):
+    path = str(tmp_path / "t")
+    writers.append_csv(spark.createDataFrame([(i, cell) for i in range(400)], "id int, t string").coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 1001 if cuts == 2 else before)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        read = readers.read_csv(spark, path, "id int, t string")
+        assert read._jdf.queryExecution().logical().toString().count("MapInArrow") == cuts
+        assert sorted(map(tuple, read.collect())) == [(i, cell) for i in range(400)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", 4194304)
+
+
 def test_json_array_and_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id": 1},\n {"id": 2, "x": 1}]')
     rows = readers.read_json(spark, str(tmp_path / "a.json"), "id int", single_array=True)
