@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +52,10 @@ SYNTHESIS_TASK = "Describe patterns that show only when these files are compared
 MAX_SHOWN = 2
 # Prompts of a batch, after which results are committed.
 BATCH_ROWS = 1_000
+# Prompts that a generator is given at once.
+SENT_ROWS = 500
+# Prompts of a batch that one task writes.
+TASK_ROWS = 10_000
 _PLAN, _RESULT = "plan", "result"
 SHOWN_CHANGE = "[change %d, made by %s]\n%s\n[end of change %d]\n"
 
@@ -204,10 +208,12 @@ def generate(prompts: DataFrame, generator: Generator, column: str = "prompt") -
         half = len(batch) // 2
         return answers(batch[:half]) + answers(batch[half:])
 
-    @F.pandas_udf("response string, error string")
-    def respond(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("response string, error string")
+    def respond(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.DataFrame(answers(batch.tolist()), columns=["response", "error"])
+            for low in range(0, len(batch), SENT_ROWS):
+                found = answers(batch.slice(low, SENT_ROWS).to_pylist())
+                yield pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["response", "error"])
 
     return prompts.withColumn("_answer", respond(F.col(column))).select(
         "*", "_answer.response", "_answer.error"
@@ -295,7 +301,8 @@ def explain_pending(
         numbered = running_totals(prompts, keys, output="_before")
         numbered = numbered.withColumn("_batch", F.lit(first) + F.floor(F.col("_before") / batch_rows)).drop("_before")
         last = first + (prompts.count() - 1) // batch_rows
-        parts.add(numbered.repartition("_batch").sortWithinPartitions("_batch"), folder, _PLAN, last)
+        share = F.pmod(F.xxhash64(*keys), F.lit(-(-batch_rows // TASK_ROWS)))
+        parts.add(numbered.repartition("_batch", share).sortWithinPartitions("_batch"), folder, _PLAN, last)
         planned = parts.committed(spark, folder, [_PLAN])
     done = {v for _, v, _ in parts.committed(spark, folder, [_RESULT])}
     if planned:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evolens.functions import fixed_values as fv
 from evolens.plans import explain
+from evolens.sources import parts
 from evolens.plans.analysis import evolution
 from evolens.catalog import adapters as a
 
@@ -174,3 +175,33 @@ def test_run_with_its_own_retrieval(spark, folder):
     made_by = {(r.repo, r.file): re.findall(r"\[change \d+, made by (.*?)\]", r.explanation) for r in rows}
     assert any(made_by.values())
     assert all(set(found) <= set(own.get(key, ())) for key, found in made_by.items())
+
+
+def test_generator_is_given_few_prompts_at_once(spark):
+    def counting(prompts):
+        if len(prompts) > explain.SENT_ROWS:
+            raise SystemExit(f"{len(prompts)} prompts")
+        return [f"{p} of {len(prompts)}" for p in prompts]
+
+    rows = spark.range(2 * explain.SENT_ROWS + 3).coalesce(1).selectExpr("CAST(id AS STRING) AS prompt")
+    got = [r["response"] for r in explain.generate(rows, counting).collect()]
+    sizes = [explain.SENT_ROWS] * 2 * explain.SENT_ROWS + [3] * 3
+    assert got == [f"{i} of {n}" for i, n in enumerate(sizes)]
+
+
+def test_rows_of_a_large_batch_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(explain, "TASK_ROWS", 10)
+    prompts = spark.range(120).selectExpr(
+        "'r' AS repo", "CAST(id AS STRING) AS file", "'0' AS cluster", "0.0D AS anomaly_score",
+        "CAST(array() AS array<string>) AS provided_commits", "'text' AS prompt",
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = explain.explain_pending(prompts, lambda texts: texts, str(tmp_path / "t"), batch_rows=60)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found.count() == 120
+    (_, _, attempt), = parts.committed(spark, str(tmp_path / "t"), ["plan"])
+    plan = spark.read.parquet(f"{tmp_path}/t/parts/{attempt}")
+    assert sorted(r["count"] for r in plan.groupBy("_batch").count().collect()) == [60, 60]
+    assert plan.select(F.input_file_name()).distinct().count() > 2
