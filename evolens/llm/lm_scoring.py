@@ -7,11 +7,12 @@ p(w | h) = (n(h, w) + WEIGHT * p(w)) / (n(h) + WEIGHT), n(h) is the number of wo
 p(w) = (n(w) + 1) / (words + vocabulary), with one vocabulary for both, so that no word is unknown to one model only.
 A document's score is the mean over its words of background cost minus target cost: higher means more like the target.
 
-Counts are added up inside each task, then by pair, and grow with the corpus. What a pair adds to a score is worked out
-once for each pair. The pairs that each make up more than a share of 1 / 2**HOT_BITS of all (so at most 2**HOT_BITS of
-them) go to every task and are looked up there; all others are joined by hash, where none is frequent enough to hold up
-a task. Sums are of whole numbers, so that scores depend on no order. Texts without words score 0; without target or
-background words every score is 0.
+Texts are taken together in chunks of about GATHERED words. A chunk's different pairs, with the places of their texts in
+it, are dealt into buckets by the hash of their word; in a bucket the chunks' pairs meet, are counted, and what each pair
+adds is summed up for every text of every chunk, so that a pair moves once for each chunk, to be counted and scored, and
+one number for each text and bucket moves back. Words that each make up more than a share of 1 / 2**HOT_BITS of all are
+known to every task, and their pairs are dealt by the hash of the pair. Sums are of whole numbers, so that scores depend
+on no order. Texts without words score 0; without target or background words every score is 0.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evolens.llm.words import ALNUM, combine, previous, slices, text_bytes, word_hashes
@@ -29,67 +31,70 @@ from evolens.operators.joins import lookup_join
 from evolens.session import materialise
 
 WEIGHT = 20.0
-HOT_BITS = 20  # 16 bytes for each hot pair
-HOT_WORDS = 1 << 16  # a word with more than a share of 1 / HOT_WORDS of the different pairs is joined by broadcast
-MOST_BROADCAST = 1_000_000  # ids of target documents
-GATHERED = 1 << 21  # words that a task adds up at once
+HOT_BITS = 16  # 40 bytes for each hot word
+MOST_BROADCAST = 200_000  # ids of target documents
+GATHERED = 1 << 21  # words of a chunk
+BUCKET_WORDS = 1 << 20  # words of all chunks that meet in a bucket
+CHUNK_TEXTS = 32_000
 UNIT = 2.0**-32  # of what a pair adds to a score
+COUNTED, WANTED, SCORED = 1, 2, 4  # what a text is for
+
+_LISTS = {"words": "bigint", "pairs_of": "int", "befores": "bigint", "texts_of": "int", "texts": "smallint", "times": "int"}
+_COLD = {"cold": "bigint", "cold_texts_of": "int", "cold_texts": "smallint", "cold_times": "int"}
+_OF_TEXTS = {"roles": "tinyint", "keys": "bigint", "n_words": "bigint", "sums": "bigint"}
+_ROW = "bucket bigint, chunk bigint, " + ", ".join(f"{c} array<{t}>" for c, t in {**_LISTS, **_COLD, **_OF_TEXTS}.items())
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
 
 
 @dataclass
 class Models:
-    """What every pair of the counted texts adds to a score (`pair`, `delta` in UNITs), and the counts behind it."""
+    """The counted texts, what all their words sum up to, and the hot words with their counts (n0, n1, then as word before)."""
 
     ready: bool
-    counted: DataFrame
-    deltas: DataFrame | None = None
-    words: DataFrame | None = None
-    befores: DataFrame | None = None
+    counted: DataFrame | None
+    marked: DataFrame | None = None
     scale: float = 1.0
     mass: float = 1.0
-    least: int = 0
+    n_words: int = 0
     hot: np.ndarray | None = None
-    hot_deltas: np.ndarray | None = None
-
+    hot_counts: np.ndarray | None = None
 
-def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each word, of the word before (0 at the text's start) and of the pair; words per text."""
-    words, counts = word_hashes(*text_bytes(batch.column("text")), ALNUM)
-    before = previous(words, counts, 1)
-    return words.view(np.int64), before.view(np.int64), combine(before, words).view(np.int64), counts
+    def shares(self, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """p(w) of words in target and background."""
+        return (n0 + 1) / self.mass, (n1 * self.scale + 1) / self.mass
 
+    def of_pairs(self, n0: np.ndarray, n1: np.ndarray, of_word: np.ndarray) -> np.ndarray:
+        """What pairs add by themselves, in UNITs, from their counts and those of the word."""
+        share0, share1 = self.shares(of_word[:, 0], of_word[:, 1])
+        return np.rint((np.log(n0 + WEIGHT * share0) - np.log(n1 * self.scale + WEIGHT * share1)) / UNIT).astype(np.int64)
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: list[tuple[np.ndarray, ...]] = []
+    def of_befores(self, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+        """What the word before adds, from its counts as such."""
+        return -np.rint((np.log(n0 + WEIGHT) - np.log(n1 * self.scale + WEIGHT)) / UNIT).astype(np.int64)
 
-    def added() -> pa.RecordBatch:
-        pair, before, word, wanted = (np.concatenate(x) for x in zip(*parts))
-        pairs, first, place = np.unique(pair, return_index=True, return_inverse=True)
-        n1 = np.bincount(place, minlength=len(pairs))
-        n0 = np.bincount(place[wanted], minlength=len(pairs))
-        parts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs, before[first], word[first], n0, n1)], ["pair", "before", "word", "n0", "n1"])
+    def find_hot(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are hot, and their places."""
+        if not len(self.hot):
+            return np.zeros(len(words), dtype=bool), np.zeros(len(words), dtype=np.int64)
+        at = np.searchsorted(self.hot, words)
+        at[at == len(self.hot)] = 0
+        return self.hot[at] == words, at
 
-    for batch in slices(batches):
-        word, before, pair, counts = _keys(batch)
-        wanted = np.repeat(np.asarray(batch.column("wanted").to_pylist(), dtype=bool), counts)
-        parts.append((pair, before, word, wanted))
-        if sum(len(p[0]) for p in parts) >= GATHERED:
-            yield added()
-    if parts:
-        yield added()
 
-
-def _beside(pairs: DataFrame, counts: DataFrame, key: str, most: int) -> DataFrame:
-    """pairs with the counts of `key`, null where it has none; counts of keys with more than `most` pairs are broadcast."""
-    found = pairs.join(F.broadcast(counts.where(F.col(f"{key}_pairs") > most)), key, "left")
-    rest = pairs.join(F.broadcast(counts.where(F.col(f"{key}_pairs") > most).select(key)), key, "left_anti")
-    rest = rest.join(counts.where(F.col(f"{key}_pairs") <= most), key, "left")
-    return found.where(F.col(f"{key}_pairs").isNotNull()).unionByName(rest)
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each word and of the word before (0 at the text's start); words per text."""
+    words, counts = word_hashes(*text_bytes(batch.column("text")), ALNUM)
+    return words, previous(words, counts, 1), counts
 
 
-def _log_ratio(target: Column, background: Column) -> Column:
-    return F.log(target) - F.log(background)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        words, before, counts = _words(batch)
+        wanted = np.repeat(np.asarray(batch.column("wanted").to_pylist(), dtype=bool), counts)
+        found, place = np.unique(np.concatenate((words, before)), return_inverse=True)
+        sides = [place[: len(words)], place[len(words) :]]
+        n = [np.bincount(x, minlength=len(found)) for side in sides for x in (side[wanted], side)]
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *map(pa.array, n)], ["word", "n0", "n1", "b0", "b1"])
 
 
 def train(docs: DataFrame, target: DataFrame) -> Models:
@@ -97,84 +102,184 @@ def train(docs: DataFrame, target: DataFrame) -> Models:
     wanted = materialise(target.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()).withColumn("wanted", F.lit(True))
     marked = lookup_join(docs.select("doc_id", "text"), wanted, ["doc_id"], "left", max_rows=MOST_BROADCAST)
     marked = marked.select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    found = marked.mapInArrow(_count, "pair bigint, before bigint, word bigint, n0 bigint, n1 bigint").groupBy("pair")
-    pairs = materialise(found.agg(*(F.first(c).alias(c) for c in ("before", "word")), *(F.sum(c).alias(c) for c in ("n0", "n1"))))
-    sums = {k: [F.sum(c).alias(f"{k}_{c}") for c in ("n0", "n1")] + [F.count("*").alias(f"{k}_pairs")] for k in ("word", "before")}
-    words, befores = (materialise(pairs.groupBy(k).agg(*sums[k])) for k in ("word", "before"))
-    n0, n1, different, vocabulary = words.agg(F.sum("word_n0"), F.sum("word_n1"), F.sum("word_pairs"), F.count("*")).first()
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1", "b0", "b1")]
+    words = materialise(marked.mapInArrow(_count, "word bigint, n0 bigint, n1 bigint, b0 bigint, b1 bigint").groupBy("word").agg(*sums))
+    n0, n1, vocabulary = words.agg(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n1") > 0)).first()
     if not n0 or not n1:
         return Models(False, docs)
-    models = Models(True, docs, None, words, befores, n0 / n1, float(n0 + vocabulary), n1 >> HOT_BITS)
-    every = _beside(_beside(pairs, words, "word", different // HOT_WORDS), befores, "before", different // HOT_WORDS)
-    models.deltas = materialise(every.select("pair", "n1", _delta(models).alias("delta")))
-    hot = models.deltas.where(F.col("n1") > models.least).select("pair", "delta").toArrow()
-    keys, values = (hot.column(c).to_numpy() for c in ("pair", "delta"))
-    order = np.argsort(keys)
-    models.hot, models.hot_deltas = keys[order], values[order]
-    return models
-
-
-def _delta(models: Models) -> Column:
-    """What a pair adds to the sum, in UNITs, from the counts of pair, word and word before; those not known are 0."""
-    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n0", "n1", "word_n0", "word_n1", "before_n0", "before_n1")}
-    share = {0: (n["word_n0"] + 1) / models.mass, 1: (n["word_n1"] * models.scale + 1) / models.mass}
-    pair = _log_ratio(n["n0"] + WEIGHT * share[0], n["n1"] * models.scale + WEIGHT * share[1])
-    before = _log_ratio(n["before_n0"] + WEIGHT, n["before_n1"] * models.scale + WEIGHT)
-    return F.round((pair - before) / UNIT).cast("bigint")
-
-
-def _is_hot(models: Models, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs are hot, and what they add; 0 for the others."""
-    if not len(models.hot):
-        return np.zeros(len(pair), dtype=bool), np.zeros(len(pair), dtype=np.int64)
-    at = np.searchsorted(models.hot, pair)
-    at[at == len(models.hot)] = 0
-    known = models.hot[at] == pair
-    return known, np.where(known, models.hot_deltas[at], 0)
-
-
-def _long_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    sums = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
-    ends = np.cumsum(counts)
-    return sums[ends] - sums[ends - counts]
+    hot = words.where(F.greatest("n1", "b1") > (n1 >> HOT_BITS)).toArrow()
+    names = hot.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    counts = np.stack([hot.column(c).to_numpy()[order] for c in ("n0", "n1", "b0", "b1")], axis=1)
+    return Models(True, docs, marked, n0 / n1, float(n0 + vocabulary), n1, names[order], counts)
+
+
+def _row(bucket: int, chunk: int, lists: dict[str, np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array([x], pa.int64()) for x in (bucket, chunk)]
+    for name, kind in {**_LISTS, **_COLD, **_OF_TEXTS}.items():
+        values = pa.array(lists.get(name, np.empty(0, np.int64)).astype(_TYPES[kind].to_pandas_dtype()))
+        columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", *_LISTS, *_COLD, *_OF_TEXTS])
+
+
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins, and the end."""
+    n = len(sorted_keys[0])
+    if not n:
+        return np.zeros(1, dtype=np.int64)
+    new = np.zeros(n, dtype=bool)
+    new[0] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.append(np.flatnonzero(new), n)
+
+
+def _sorted(bucket: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Order by bucket, then keys from first to last, then as given."""
+    order = np.arange(len(bucket))
+    for k in (*keys[::-1], bucket.astype(np.uint32)):
+        order = order[np.argsort(k[order], kind="stable")]
+    return order
+
+
+def _dealt(models: Models, buckets: int, number: int, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """A chunk's rows: one of its texts, and one for each bucket."""
+    words, before, counts, keys, roles = (np.concatenate(x) for x in zip(*parts))
+    text = np.repeat(np.arange(len(counts)), counts)
+    with np.errstate(over="ignore"):
+        content = int(combine(keys.view(np.uint64), np.arange(len(keys), dtype=np.uint64)).sum())
+    chunk = int(combine(*(np.array([x], np.uint64) for x in (TaskContext.get().partitionId(), number, content))).view(np.int64)[0])
+    scored = (roles & SCORED) > 0
+    known, at = models.find_hot(before)
+    sums = np.zeros(len(counts), dtype=np.int64)
+    if known.any():
+        np.add.at(sums, text[known], models.of_befores(*models.hot_counts[:, 2:].T)[at[known]])
+    yield _row(-1 - chunk % buckets, chunk, {"keys": keys[scored], "n_words": counts[scored], "sums": sums[scored]})
+    size = np.uint64(buckets)
+    hot = models.find_hot(words)[0]
+    bucket = np.where(hot, combine(before, words), words) % size
+    order = _sorted(bucket, words, before)
+    bucket, w, b, t = bucket[order], words[order], before[order], text[order]
+    entries = _starts(bucket, w, b, t)
+    times, e = np.diff(entries), entries[:-1]
+    pairs = _starts(bucket[e], w[e], b[e])
+    p = e[pairs[:-1]]
+    runs = _starts(bucket[p], w[p])
+    cold_bucket = before[~known] % size
+    order = _sorted(cold_bucket, before[~known])
+    cb, c, ct = cold_bucket[order], before[~known][order], text[~known][order]
+    cold_entries = _starts(cb, c, ct)
+    ce = cold_entries[:-1]
+    cold = _starts(cb[ce], c[ce])
+    cold_at = ce[cold[:-1]]
+    for k in np.unique(np.concatenate((bucket[e], cb[ce]))):
+        low, high = np.searchsorted(bucket[e], [k, k + np.uint64(1)])
+        first, last = np.searchsorted(pairs, [low, high])
+        run, end = np.searchsorted(runs, [first, last])
+        clow, chigh = np.searchsorted(cb[ce], [k, k + np.uint64(1)])
+        cfirst, clast = np.searchsorted(cold, [clow, chigh])
+        yield _row(int(k), chunk, {
+            "words": w[p[runs[run:end]]].view(np.int64), "pairs_of": np.diff(runs[run : end + 1]),
+            "befores": b[p[first:last]].view(np.int64), "texts_of": np.diff(pairs[first : last + 1]),
+            "texts": t[e[low:high]], "times": times[low:high],
+            "cold": c[cold_at[cfirst:clast]].view(np.int64), "cold_texts_of": np.diff(cold[cfirst : clast + 1]),
+            "cold_texts": ct[ce[clow:chigh]], "cold_times": np.diff(cold_entries)[clow:chigh], "roles": roles,
+        })
+
+
+def _added(place: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
+    return np.bincount(place, weights=values, minlength=size)
+
+
+def _summed(models: Models, rows: pa.Table) -> pa.Table:
+    """What a bucket adds to the scored texts of each chunk; rows of a chunk's texts pass through."""
+    parts = {c: [x.values.to_numpy(zero_copy_only=False) for x in rows.column(c)] for c in {**_LISTS, **_COLD, **_OF_TEXTS}}
+    if rows.column("bucket")[0].as_py() < 0:
+        return rows.select(["chunk", "keys", "n_words", "sums"])
+    totals = [np.zeros(len(r), dtype=np.int64) for r in parts["roles"]]
+    base = np.cumsum([0, *map(len, totals)])
+    every = np.concatenate(totals)
+    roles = np.concatenate(parts["roles"])
+
+    def joined(name: str) -> np.ndarray:
+        return np.concatenate(parts[name])
+
+    def counted(name: str, of: str, times: str) -> tuple[np.ndarray, ...]:
+        """Of each entry: its key's place, text and times; of each key: n0 and n1."""
+        place = np.repeat(np.arange(len(joined(of))), joined(of))
+        text = np.concatenate([x + np.int64(o) for x, o in zip(parts[name], base)])
+        n = joined(times).astype(np.int64)
+        size = len(joined(of))
+        return place, text, n, _added(place, size, n * ((roles[text] & WANTED) > 0)), _added(place, size, n * ((roles[text] & COUNTED) > 0))
+
+    place, text, n, n0, n1 = counted("texts", "texts_of", "times")
+    if len(place):
+        word = np.repeat(joined("words"), joined("pairs_of")).view(np.uint64)
+        _, first, pair = np.unique(combine(joined("befores").view(np.uint64), word), return_index=True, return_inverse=True)
+        names, of = np.unique(word, return_inverse=True)
+        known, at = models.find_hot(names)
+        of_word = np.stack([_added(of, len(names), x) for x in (n0, n1)], axis=1)
+        of_word[known] = models.hot_counts[at[known], :2]
+        delta = models.of_pairs(*(_added(pair, len(first), x) for x in (n0, n1)), of_word[of[first]])
+        np.add.at(every, text, delta[pair][place] * n)
+    place, text, n, n0, n1 = counted("cold_texts", "cold_texts_of", "cold_times")
+    if len(place):
+        names, of = np.unique(joined("cold"), return_inverse=True)
+        delta = models.of_befores(*(_added(of, len(names), x) for x in (n0, n1)))
+        np.add.at(every, text, delta[of][place] * n)
+    sums = [every[a:b][(r & SCORED) > 0] for a, b, r in zip(base, base[1:], parts["roles"])]
+    empty = pa.array([[]] * len(sums), pa.list_(pa.int64()))
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sums)]), pa.int32()), pa.array(np.concatenate(sums)))
+    return pa.table([rows.column("chunk").combine_chunks(), empty, empty, lists], ["chunk", "keys", "n_words", "sums"])
+
+
+def _by_text(rows: pa.Table) -> pa.Table:
+    """A chunk's texts with the sums of all buckets."""
+    sums = sum(x.values.to_numpy() for x in rows.column("sums"))
+    keys, n_words = (max((x.values.to_numpy() for x in rows.column(c)), key=len) for c in ("keys", "n_words"))
+    return pa.table([pa.array(x) for x in (keys, n_words, sums)], ["key", "n_words", "sum"])
 
 
 def cross_entropy_difference(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_words and score of every row; repeated rows are scored each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lean = Models(models.ready, None, hot=models.hot if models.ready else np.empty(0, np.int64), hot_deltas=models.hot_deltas)
-    shared = docs.sparkSession.sparkContext.broadcast(lean)
+    if not models.ready:
 
-    def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            _, _, pair, counts = _keys(batch)
-            known, deltas = _is_hot(shared.value, pair)
-            cold = counts - _long_sums(known, counts)
-            arrays = [batch.column("doc_id"), batch.column("key"), *(pa.array(x) for x in (counts, cold, _long_sums(deltas, counts)))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n_words", "cold", "sum"])
+        def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_words(batch)[2])], ["doc_id", "n_words"])
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return docs.select("doc_id", "text").mapInArrow(lengths, f"doc_id {kind}, n_words bigint").withColumn("score", F.lit(0.0))
+    own = models.counted is docs
+    lean = Models(True, None, None, models.scale, models.mass, models.n_words, models.hot, models.hot_counts)
+    shared = docs.sparkSession.sparkContext.broadcast(lean)
+    key = F.xxhash64("text").alias("key")
+    role = F.lit(COUNTED) + F.col("wanted").cast("int") * WANTED + (SCORED if own else 0)
+    texts = models.marked.select("text", key, role.alias("role"))
+    n_words = models.n_words
+    if not own:
+        texts = texts.unionByName(docs.select("text", key, F.lit(SCORED).alias("role")))
+        n_words += (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 4
+    buckets = 1 + n_words // BUCKET_WORDS
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        size = number = rows = 0
         for batch in slices(batches):
-            word, before, pair, counts = _keys(batch)
-            cold = ~_is_hot(shared.value, pair)[0]
-            key = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(x[cold]) for x in (key, pair, before, word)], ["key", "pair", "before", "word"])
-
-    # texts that are equal have one key and are added up together; what is found is theirs in equal parts
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    rows = keyed.mapInArrow(by_row, f"doc_id {kind}, key bigint, n_words bigint, cold bigint, sum bigint")
-    if not models.ready:
-        return rows.select("doc_id", "n_words", F.lit(0.0).alias("score"))
-    rows = materialise(rows)
-    cold = keyed.select("text", "key").mapInArrow(others, "key bigint, pair bigint, before bigint, word bigint")
-    deltas = models.deltas.where(F.col("n1") <= models.least).select("pair", "delta")
-    added = cold.select("key", "pair").join(deltas, "pair").select("key", "delta")
-    if models.counted is not docs:  # else every pair was counted
-        rest = cold.join(deltas, "pair", "left_anti").withColumns({"n0": F.lit(0), "n1": F.lit(0)})
-        rest = lookup_join(lookup_join(rest, models.words, ["word"], "left"), models.befores, ["before"], "left")
-        added = added.unionByName(rest.select("key", _delta(models).alias("delta")))
-    added = added.groupBy("key").agg(F.sum("delta").alias("_sum"), F.count("*").alias("_cold"))
-    more = rows.where("cold > 0").join(added, "key", "left").withColumn("_more", F.col("_sum") / (F.col("_cold") / F.col("cold")))
-    whole = more.unionByName(rows.where("cold = 0").withColumn("_more", F.lit(0.0)), allowMissingColumns=True)
-    score = (F.col("sum") + F.col("_more")) * UNIT / F.greatest("n_words", F.lit(1))
-    return whole.select("doc_id", "n_words", score.alias("score"))
+            for low in range(0, batch.num_rows, CHUNK_TEXTS):
+                some = batch.slice(low, CHUNK_TEXTS)
+                if parts and (size >= GATHERED or rows + some.num_rows > CHUNK_TEXTS):
+                    yield from _dealt(shared.value, buckets, number, parts)
+                    size, number, rows, parts = 0, number + 1, 0, []
+                parts.append((*_words(some), some.column("key").to_numpy(), some.column("role").to_numpy().astype(np.int8)))
+                size, rows = size + len(parts[-1][0]), rows + some.num_rows
+        if parts:
+            yield from _dealt(shared.value, buckets, number, parts)
+
+    dealt = texts.mapInArrow(deal, _ROW).groupBy("bucket")
+    summed = dealt.applyInArrow(lambda rows: _summed(shared.value, rows), "chunk bigint, keys array<bigint>, n_words array<bigint>, sums array<bigint>")
+    found = summed.groupBy("chunk").applyInArrow(_by_text, "key bigint, n_words bigint, sum bigint")
+    # texts that are equal have one key and one sum
+    found = materialise(found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.max("sum").alias("sum")))
+    score = F.col("sum") * UNIT / F.greatest("n_words", F.lit(1))
+    return lookup_join(docs.select("doc_id", key), found, ["key"], salt_on=["doc_id"]).select("doc_id", "n_words", score.alias("score"))

@@ -159,6 +159,33 @@ def test_lm_scores_count_every_pair(spark, monkeypatch, bits):
     assert lm_scoring.cross_entropy_difference(new, models).first()["score"] == pytest.approx(plain("w1 unseen w1 w2 w2 w1 other"), abs=1e-6)
 
 
+def test_lm_chunks_and_buckets_change_nothing(spark, monkeypatch):
+    draw = np.random.RandomState(3)
+    rows = [(i % 150, " ".join(f"w{x}" for x in draw.zipf(1.3, 50) % 2000)) for i in range(200)]
+    table = spark.createDataFrame([*rows, *rows[:5], (None, "w1 w2"), (7, None)], "doc_id bigint, text string").repartition(3)
+
+    def scores():
+        models = lm_scoring.train(table, table.where("doc_id % 3 = 0").select("doc_id"))
+        return sorted(((r["doc_id"], r["n_words"], round(r["score"], 7)) for r in lm_scoring.cross_entropy_difference(table, models).collect()), key=str)
+
+    def pairs_of(k):
+        models = lm_scoring.Models(True, None, hot=np.empty(0, np.uint64), hot_counts=np.empty((0, 4)))
+        part = (np.array([5, 6, 5, 6, 5], np.uint64), np.array([0, 5, 6, 5, 0], np.uint64), np.array([4, 1]), np.array([1, 2]), np.array([5, 4], np.int8))
+        monkeypatch.setattr(lm_scoring.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+        moved = list(lm_scoring._dealt(models, k, 0, [part]))
+        monkeypatch.undo()
+        return sum(len(r.column("befores")[0]) for r in moved), sum(sum(r.column("times")[0].as_py()) for r in moved)
+
+    assert pairs_of(1) == pairs_of(7) == (3, 5)  # three different pairs move once each, for all five places
+    want = scores()
+    monkeypatch.setattr(lm_scoring, "GATHERED", 500)
+    monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 300)
+    monkeypatch.setattr(lm_scoring, "CHUNK_TEXTS", 16)
+    monkeypatch.setattr(lm_scoring, "HOT_BITS", 5)
+    monkeypatch.setattr(lm_scoring, "MOST_BROADCAST", 3)
+    assert scores() == want and len(want) == 207
+
+
 def test_lm_target_is_not_sampled(spark, folder, tmp_path, monkeypatch):
     seen = []
     monkeypatch.setattr(lm_scoring, "train", lambda docs, target: seen.append(target.count()))
