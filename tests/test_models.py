@@ -300,3 +300,20 @@ def test_pivots_skip_blocks(spark, monkeypatch):
     found = [(r.file, r.commit) for r in retrieval.knn_overfetch(same, zero, 2, factor=3).collect()]
     assert sorted(found) == [(f"f{c % 3}", c) for c in (0, 3, 1, 4, 2, 5)]
     assert retrieval.knn_overfetch(docs.limit(0), queries).count() == 0
+
+
+def test_models_far_apart_need_no_pairs_of_rows(spark, monkeypatch):
+    spots = [F.when(F.col("id") % 4 == i, 20.0).otherwise(0.0) + F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000 for i in range(4)]
+    points = spark.range(600).select("id", F.array(*spots).alias("scaled"))
+    want = {r["id"]: r["cluster_id"] for r in clustering.cluster_auto_k(points, ["id"]).collect()}
+    models = clustering.fit_models(points, ["id"], "scaled", range(2, 8), 2, 1)
+    exact = clustering._model_silhouettes(points, "scaled", models, "euclidean")
+    for size in (8, 64):
+        cells = np.array([r["scaled"] for r in points.limit(size).collect()])
+        rows = points.select(F.col("scaled").alias("_vector"), clustering.nearest_centres(F.col("scaled"), [*models.values(), cells]).alias("_codes"))
+        ends = clustering._bounds(rows, 600, models, cells)
+        assert all(ends[k][0] - 1e-6 <= exact[k] <= ends[k][1] + 1e-6 for k in models)
+    monkeypatch.setattr(clustering, "BOUNDED_ROWS", 10)
+    monkeypatch.setattr(clustering, "_plain_sums", None)
+    assert {r["id"]: r["cluster_id"] for r in clustering.cluster_auto_k(points, ["id"]).collect()} == want
+    assert len(set(want.values())) == 4
