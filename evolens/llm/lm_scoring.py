@@ -36,6 +36,8 @@ MOST_BROADCAST = 200_000  # ids of target documents
 GATHERED = 1 << 21  # words of a chunk
 BUCKET_WORDS = 1 << 20  # words of all chunks that meet in a bucket
 CHUNK_TEXTS = 32_000
+PORTIONS = 16  # of a chunk, sorted one after the other
+STRETCH = 1 << 18  # words looked up at once
 UNIT = 2.0**-32  # of what a pair adds to a score
 COUNTED, WANTED, SCORED = 1, 2, 4  # what a text is for
 
@@ -143,40 +145,65 @@ def _sorted(bucket: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 
 def _dealt(models: Models, buckets: int, number: int, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """A chunk's rows: one of its texts, and one for each bucket."""
+    """A chunk's rows: one of its texts, and one for each bucket. Empties `parts`."""
     words, before, counts, keys, roles = (np.concatenate(x) for x in zip(*parts))
-    text = np.repeat(np.arange(len(counts)), counts)
+    parts.clear()
+    text = np.repeat(np.arange(len(counts), dtype=np.int16), counts)
     with np.errstate(over="ignore"):
         content = int(combine(keys.view(np.uint64), np.arange(len(keys), dtype=np.uint64)).sum())
     chunk = int(combine(*(np.array([x], np.uint64) for x in (TaskContext.get().partitionId(), number, content))).view(np.int64)[0])
     scored = (roles & SCORED) > 0
-    known, at = models.find_hot(before)
-    sums = np.zeros(len(counts), dtype=np.int64)
-    if known.any():
-        np.add.at(sums, text[known], models.of_befores(*models.hot_counts[:, 2:].T)[at[known]])
+    bucket, cold_bucket, sums = _buckets(models, buckets, words, before, text, len(counts))
     yield _row(-1 - chunk % buckets, chunk, {"keys": keys[scored], "n_words": counts[scored], "sums": sums[scored]})
-    size = np.uint64(buckets)
-    hot = models.find_hot(words)[0]
-    bucket = np.where(hot, combine(before, words), words) % size
-    order = _sorted(bucket, words, before)
-    bucket, w, b, t = bucket[order], words[order], before[order], text[order]
-    entries = _starts(bucket, w, b, t)
+    step = -(-buckets // PORTIONS)
+    for low in range(0, buckets, step):
+        high = min(low + step, buckets)
+        inside, cold_inside = (np.flatnonzero((x >= low) & (x < high)) for x in (bucket, cold_bucket))
+        yield from _portion(chunk, roles, words, before, text, inside, cold_inside, bucket, cold_bucket)
+
+
+def _buckets(
+    models: Models, buckets: int, words: np.ndarray, before: np.ndarray, text: np.ndarray, texts: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair, its bucket and that of the word before (none, the one past the last, if hot); what hot ones add to each text."""
+    kind, size = np.min_scalar_type(buckets), np.uint64(buckets)
+    sums = np.zeros(texts, dtype=np.int64)
+    bucket, cold_bucket = (np.empty(len(words), dtype=kind) for _ in range(2))
+    adds = models.of_befores(*models.hot_counts[:, 2:].T)
+    for low in range(0, len(words), STRETCH):
+        some = slice(low, low + STRETCH)
+        known, at = models.find_hot(before[some])
+        np.add.at(sums, text[some][known], adds[at[known]])
+        cold_bucket[some] = np.where(known, size, before[some] % size)
+        hot = models.find_hot(words[some])[0]
+        bucket[some] = np.where(hot, combine(before[some], words[some]), words[some]) % size
+    return bucket, cold_bucket, sums
+
+
+def _portion(
+    chunk: int, roles: np.ndarray, words: np.ndarray, before: np.ndarray, text: np.ndarray,
+    inside: np.ndarray, cold_inside: np.ndarray, bucket: np.ndarray, cold_bucket: np.ndarray,
+) -> Iterator[pa.RecordBatch]:
+    """The rows of some buckets. inside: the pairs in these buckets; cold_inside: those whose word before is."""
+    order = inside[_sorted(bucket[inside], words[inside], before[inside])]
+    bucket_of, w, b, t = bucket[order], words[order], before[order], text[order]
+    entries = _starts(bucket_of, w, b, t)
     times, e = np.diff(entries), entries[:-1]
-    pairs = _starts(bucket[e], w[e], b[e])
+    pairs = _starts(bucket_of[e], w[e], b[e])
     p = e[pairs[:-1]]
-    runs = _starts(bucket[p], w[p])
-    cold_bucket = before[~known] % size
-    order = _sorted(cold_bucket, before[~known])
-    cb, c, ct = cold_bucket[order], before[~known][order], text[~known][order]
+    runs = _starts(bucket_of[p], w[p])
+    order = cold_inside[_sorted(cold_bucket[cold_inside], before[cold_inside])]
+    cb, c, ct = cold_bucket[order], before[order], text[order]
     cold_entries = _starts(cb, c, ct)
     ce = cold_entries[:-1]
     cold = _starts(cb[ce], c[ce])
     cold_at = ce[cold[:-1]]
-    for k in np.unique(np.concatenate((bucket[e], cb[ce]))):
-        low, high = np.searchsorted(bucket[e], [k, k + np.uint64(1)])
+    of_entry, of_cold = (x.astype(np.int64) for x in (bucket_of[e], cb[ce]))
+    for k in np.unique(np.concatenate((of_entry, of_cold))):
+        low, high = np.searchsorted(of_entry, [k, k + 1])
         first, last = np.searchsorted(pairs, [low, high])
         run, end = np.searchsorted(runs, [first, last])
-        clow, chigh = np.searchsorted(cb[ce], [k, k + np.uint64(1)])
+        clow, chigh = np.searchsorted(of_cold, [k, k + 1])
         cfirst, clast = np.searchsorted(cold, [clow, chigh])
         yield _row(int(k), chunk, {
             "words": w[p[runs[run:end]]].view(np.int64), "pairs_of": np.diff(runs[run : end + 1]),

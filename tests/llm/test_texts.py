@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evolens.llm import bpe, language, lm_scoring, queries, secrets, toxicity
-from evolens.llm.words import ALNUM, SPACED, text_bytes, word_hashes
+from evolens.llm.words import ALNUM, SPACED, previous, text_bytes, word_hashes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", None, "One  two\tONE", "ünï-cödé, 42!", "a" * 5000 + " b", "\x00x\x7fy"]
@@ -186,6 +187,24 @@ def test_lm_chunks_and_buckets_change_nothing(spark, monkeypatch):
     assert scores() == want and len(want) == 207
 
 
+def test_lm_chunks_are_sorted_in_portions(monkeypatch):
+    monkeypatch.setattr(lm_scoring.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    draw = np.random.RandomState(5)
+    n, texts = 1 << 20, 3000
+    words = draw.randint(1, 1 << 62, 50_000).astype(np.uint64)[draw.zipf(1.3, n) % 50_000]
+    counts = draw.multinomial(n, np.ones(texts) / texts)
+    hot, n_hot = np.unique(words, return_counts=True)
+    hot = hot[n_hot > n >> 8]
+    models = lm_scoring.Models(True, None, hot=hot, hot_counts=draw.randint(1, 1000, (len(hot), 4)))
+    parts = [(words, previous(words, counts, 1), counts, np.arange(texts), np.full(texts, 5, np.int8))]
+    del words
+    tracemalloc.start()
+    moved = sum(int(r.column("times")[0].values.to_numpy().sum()) for r in lm_scoring._dealt(models, 40, 0, parts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert moved == n and peak < 70 * n  # all at once they took 131 bytes a word
+
+
 def test_lm_target_is_not_sampled(spark, folder, tmp_path, monkeypatch):
     seen = []
     monkeypatch.setattr(lm_scoring, "train", lambda docs, target: seen.append(target.count()))
