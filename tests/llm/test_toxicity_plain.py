@@ -112,3 +112,33 @@ def test_odd_rows(spark):
     assert toxicity.scores(docs.limit(0), model).count() == 0
     nothing = toxicity.train(docs.limit(0), labels)
     assert all(r["score"] < 0.5 for r in toxicity.scores(docs, nothing).collect())
+
+
+def test_large_models_are_the_same(spark, corpus, monkeypatch):
+    texts, classes = corpus
+    rows = [*enumerate(texts), (1, texts[1]), (None, texts[2]), (900, None), (901, "never seen word1"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).withColumn("toxic", F.lit("x"))
+    labels = spark.createDataFrame([*enumerate(classes[:-10]), (900, 1), (None, 1), (901, 0), (901, 1)], "doc_id bigint, toxic int")
+    new = spark.createDataFrame([(1, "word1 unseen bad4"), (2, "badly wordy word2 word2"), (2, texts[3]), (3, "")], "doc_id bigint, text string")
+
+    def rated():
+        model = toxicity.train(docs, labels)
+        found = [sorted((tuple(r) for r in toxicity.scores(d, model).collect()), key=str) for d in (docs, new)]
+        return model, [(i, pytest.approx(d, abs=1e-4), pytest.approx(x, abs=1e-4)) for f in found for i, d, x in f], [x for f in found for x in f]
+
+    model, want, _ = rated()
+    for name, value in {"LOCAL_BYTES": 0, "CHUNK_BYTES": 300, "BUCKET_PAIRS": 20, "MOST_BROADCAST": 3}.items():
+        monkeypatch.setattr(toxicity, name, value)
+    large, _, found = rated()
+    assert model.shared and large.large and large.pairs is None
+    assert sorted((str(x[0]) for x in found)) == sorted(str(x[0]) for x in want)
+    assert sorted(found, key=lambda x: (str(x[0]), x[1])) == sorted(want, key=lambda x: (str(x[0]), x[1].expected))
+    assert (large.middle, large.width) == pytest.approx((model.middle, model.width), abs=1e-4)
+    none = toxicity.train(docs, labels.where("toxic = 0"))
+    assert all(r["score"] < 0.5 for r in toxicity.scores(docs, none).collect())
+
+
+def test_every_labelled_text_is_learned(spark):
+    docs = spark.range(24_000).selectExpr("id as doc_id", "concat('word', id) as text")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert len(model.words.keys) == len(model.pairs.keys) == 24_000  # about 10,000 of each class were
