@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from evolens.llm import toxicity
 from evolens.llm.words import ALNUM, word_hashes
@@ -142,3 +143,33 @@ def test_every_labelled_text_is_learned(spark):
     docs = spark.range(24_000).selectExpr("id as doc_id", "concat('word', id) as text")
     model = toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
     assert len(model.words.keys) == len(model.pairs.keys) == 24_000  # about 10,000 of each class were
+
+
+def test_large_models_leave_little_on_disk(spark, tmp_path, monkeypatch):
+    """Shuffled at once were all texts and pairs; now a share of either, and files go with the step they were written for."""
+    for name, value in {"LOCAL_BYTES": 0, "CHUNK_BYTES": 2000, "BUCKET_PAIRS": 500, "PORTION_CHUNKS": 1}.items():
+        monkeypatch.setattr(toxicity, name, value)
+    docs = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 60), x -> concat('w', hash(id, x) % 500))) as text")
+    docs.repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic")
+    rated, rate = [], toxicity._rate_portion
+    monkeypatch.setattr(toxicity, "_rate_portion", lambda totals, texts, *a: (rated.append(texts.count()), rate(totals, texts, *a))[1])
+    kept = {k: spark.conf.get(k, None) for k in toxicity.LEAN}
+    model = toxicity.train(docs, labels)
+    assert toxicity.scores(docs, model).count() == sum(rated) == 400
+    assert len(rated) > 2 and max(rated) < 200
+    assert {k: spark.conf.get(k, None) for k in toxicity.LEAN} == kept
+
+
+def test_a_pass_deals_its_share_of_the_buckets():
+    rows = pa.RecordBatch.from_pydict({"chunk": pa.array([1, 1, 1]), "toxic": pa.array([0, 1, None], pa.int32()), "text": ["a b c d e f g", "b c d a", "x y z a b"]})
+
+    def dealt(*share):
+        found = [r for b in toxicity._deal(8, *share, iter([rows])) for r in b.to_pylist()]
+        return [(r["bucket"], sorted(zip(r["words"], r["befores"], r["pair0"], r["pair1"])), sorted(r["keys"])) for r in found]
+
+    whole, parts = dealt(1, 0), [dealt(4, turn) for turn in range(4)]
+    assert sorted(r for p in parts for r in p) == whole
+    assert all(r[0] % 4 == turn for turn, p in enumerate(parts) for r in p)
+    assert max(map(len, parts)) < len(whole)
