@@ -317,3 +317,49 @@ def test_models_far_apart_need_no_pairs_of_rows(spark, monkeypatch):
     monkeypatch.setattr(clustering, "_plain_sums", None)
     assert {r["id"]: r["cluster_id"] for r in clustering.cluster_auto_k(points, ["id"]).collect()} == want
     assert len(set(want.values())) == 4
+
+
+def test_memory_of_a_pass_does_not_grow_with_a_task(spark):
+    """20,000 rows of one task meet 520 centres; all their distances would be 83 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Task:
+        def __init__(self, batches):
+            self.batches = batches
+
+        def mapInArrow(self, run, schema):
+            tracemalloc.start()
+            list(run(iter(self.batches)))
+            self.peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            raise StopIteration
+
+    rng = np.random.default_rng(4)
+    spots = clustering._spots(spark.range(20_000).coalesce(1).select("id", F.array(*[F.rand(i) for i in range(20)]).alias("scaled")), ["id"], "scaled")
+    assert spots.count() == 20_000  # no row of many vectors, which a task would have to read whole
+    table = spots.toArrow().combine_chunks()
+    task = Task(table.to_batches(max_chunksize=10_000))
+    with pytest.raises(StopIteration):
+        clustering._centre_sums(task, 20, {m: rng.normal(size=(52, 20)) for m in range(10)})
+    assert task.peak < 32e6
+    assert all((s.stop - s.start) * 520 <= clustering.SLICE_VALUES for s in clustering._slices(20_000, 520))
+
+
+def test_grid_repeats_rows_by_tiles_not_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "GRID_ROWS", 50)
+    monkeypatch.setattr(clustering, "CHUNK", 4)
+    rng = np.random.default_rng(6)
+    x, a, b = rng.normal(size=(1_500, 2)), rng.integers(0, 3, 1_500), rng.integers(3, 9, 1_500)
+    rows = spark.createDataFrame([(i, v.tolist(), [int(p), int(q)]) for i, (v, p, q) in enumerate(zip(x, a, b))], "_id long, _vector array<double>, _codes array<int>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = d @ (np.eye(9)[a] + np.eye(9)[b])
+    for held in (64 << 20, 8 * 6 * 70):  # the second holds 70 rows of a tile
+        monkeypatch.setattr(clustering, "HELD_BYTES", held, raising=False)
+        found = clustering._plain_sums(rows, 2, 9).toPandas()
+        assert len(found) <= 1_500 * 3 * 8
+        got = np.zeros((1_500, 12))
+        for r in found.itertuples():
+            got[r[1], 4 * r.chunk : 4 * r.chunk + 4] += r.sums
+        assert np.allclose(got[:, :9], want, atol=1e-4)
