@@ -363,3 +363,25 @@ def test_grid_repeats_rows_by_tiles_not_by_blocks(spark, monkeypatch):
         for r in found.itertuples():
             got[r[1], 4 * r.chunk : 4 * r.chunk + 4] += r.sums
         assert np.allclose(got[:, :9], want, atol=1e-4)
+
+
+def test_memory_of_nearest_centres_does_not_grow_with_their_number(spark, monkeypatch):
+    """A batch of 10,000 rows and 2,048 cells: all their distances would be 164 MB."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    models = [rng.normal(size=(k, 20)) for k in (3, 2_048)]
+    monkeypatch.setattr(clustering.F, "pandas_udf", lambda kind: lambda run: lambda column: run)
+    nearest = clustering.nearest_centres(None, models)
+    vectors = rng.normal(size=(10_000, 20))
+    rows = pd.Series(list(vectors))
+    tracemalloc.start()
+    found = np.stack(nearest(rows).to_numpy())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32e6
+    some = vectors[:50]
+    for m, c in enumerate(models):
+        assert (found[:50, m] == ((some[:, None] - c[None]) ** 2).sum(2).argmin(1) + 3 * m).all()
